@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -127,18 +128,30 @@ def states_before(f: np.ndarray, start: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def class_table() -> np.ndarray:
-    """LETTER, NUMBER, OTHER or WHITE_MORE for each code point, from the Unicode categories.
+    """LETTER, NUMBER, OTHER or WHITE_MORE for each code point, as the tokenizer library has them.
 
-    The categories come from the regex package, whose Unicode version is that of the
-    tokenizer library rather than the interpreter's.
+    The regex package and the interpreter carry different Unicode versions. Where they
+    disagree, the library itself is asked: under a vocabulary in which "a" or "1" merges
+    with any byte, a code point of the same class shortens the encoding.
     """
+    import public_tokenizers
     import regex
+    import tiktoken
 
     table = np.full(0x110000, OTHER, dtype=np.uint8)
     every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\ue000" for c in range(0x110000))
     for kind, name in ((LETTER, "L"), (NUMBER, "N")):
         for m in regex.finditer(rf"\p{{{name}}}+", every):
             table[m.start() : m.end()] = kind
+    own = np.fromiter(({"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER) for c in every), dtype=np.uint8, count=len(every))
+    doubtful = np.flatnonzero(own != table)
+    table[doubtful] = OTHER
+    for kind, beside in ((LETTER, b"a"), (NUMBER, b"1")):
+        ranks = {bytes([b]): b for b in range(256)} | {beside + bytes([b]): 256 + b for b in range(256)}
+        probe = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for c in doubtful.tolist():
+            if len(probe.encode_ordinary(beside.decode() + chr(c))) <= len(chr(c).encode()):
+                table[c] = kind
     table[list(WHITE)] = WHITE_MORE
     return table
 
