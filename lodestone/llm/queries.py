@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, mixing, planes, rules, secrets
+from lodestone.llm import bpe, mixing, planes, quality, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op3_source_mix": mixing.op3_source_mix,
+    "op5_quality_scores": quality.op5_quality_scores,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_token_planes": planes.op9_token_planes,
