@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, mixing, planes, quality, rules, secrets
+from lodestone.llm import bpe, mixing, planes, quality, rules, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_source_mix": mixing.op3_source_mix,
     "op5_quality_scores": quality.op5_quality_scores,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
