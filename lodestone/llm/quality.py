@@ -26,9 +26,9 @@ TRIGRAM_BINS = 2048
 LATENT = 48
 NEIGHBOURS = 15
 #: Exponent that turns a cosine into the weight of a vote.
-SHARPNESS = 8.0
+SHARPNESS = 16.0
 #: Weight of a shape feature beside the trigrams' unit vector.
-SHAPE_WEIGHT = 0.25
+SHAPE_WEIGHT = 0.5
 
 _SYMBOL = byte_mask(b"#*$%&|<>!{}[]@^~=_\\/+")
 _UPPER = byte_mask(range(0x41, 0x5B))
