@@ -6,7 +6,7 @@ windows of length ``part`` < width. Equal windows have equal anchors, and neighb
 windows mostly share one, so a corpus has about 2 / (width - part + 2) anchor runs a unit.
 
 1. Anchors are counted; only windows whose anchor occurs twice are candidates.
-2. A *segment* is a maximal run of windows with one anchor. Candidate segments are
+2. A *segment* is a maximal run of windows around one occurrence of an anchor. Candidate segments are
    compared by 128-bit fingerprints: most repeats are settled here, a segment at a time.
 3. Where one anchor has several distinct segments, one representative of each is compared
    window by window (by the operator's own method).
@@ -45,7 +45,10 @@ class Units:
 
 @dataclass
 class Segments:
-    """Maximal runs of windows with one anchor: first window, number of windows, row."""
+    """Maximal runs of windows around one occurrence of their anchor.
+
+    Equal windows hold their anchor at the same place, so they are in different segments.
+    """
 
     anchor: np.ndarray
     start: np.ndarray
@@ -59,12 +62,14 @@ class Segments:
 def segments(units: Units, width: int, part: int) -> tuple[Segments, Rolling]:
     """The segments of a slice, and the rolling hash they were found with."""
     rolling = Rolling.over(units.codes[0])
-    least = window_min(rolling.windows(part), width - part + 1)
+    grams = rolling.windows(part)
+    least = window_min(grams, width - part + 1)
     n = len(least)
     owner = units.owner()[:n]
     fits = np.arange(n) + width <= units.row[1:][owner]
     same = np.zeros(n, dtype=bool)
-    same[1:] = fits[1:] & fits[:-1] & (least[1:] == least[:-1]) & (owner[1:] == owner[:-1])
+    # a window that starts with its anchor is the last to hold that occurrence of it
+    same[1:] = fits[1:] & fits[:-1] & (least[1:] == least[:-1]) & (owner[1:] == owner[:-1]) & (grams[: max(n - 1, 0)] != least[:-1])
     first = np.flatnonzero(fits & ~same)
     edge = np.append(np.flatnonzero(~same), n)  # where any run, fitting or not, begins
     many = edge[np.searchsorted(edge, first, side="right")] - first
