@@ -156,6 +156,14 @@ def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
 
 
+def merged(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """The distinct positions (0 to most) of two arrays, ascending."""
+    marks = np.zeros(most + 1, dtype=bool)
+    marks[a] = True
+    marks[b] = True
+    return np.flatnonzero(marks)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
     """The rows of a batch as slices, in order; null texts are empty."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.blocks import Slice, slices
+from lodestone.llm.pieces import PieceCache
 from lodestone.llm.shared import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -211,14 +212,7 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         self.length = np.array([len(t) for t in tokens], dtype=np.int64)
         self.start = np.cumsum(self.length) - self.length
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self._ids = np.zeros(1 << 16, dtype=np.uint32)
-        self._from = np.zeros(1 << 14, dtype=np.int64)
-        self._many = np.zeros(1 << 14, dtype=np.int64)
-        self._used = 0
+        self.cache = PieceCache(self.MOST_PIECES)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the pair of lowest rank first, the leftmost on ties."""
@@ -248,19 +242,6 @@ class Codec:
             i = right[i]
         return out
 
-    def _learn(self, key: int, piece: bytes) -> int:
-        ids = self.merge(piece)
-        slot = len(self.known)
-        if slot >= len(self._from):
-            self._from, self._many = np.resize(self._from, 2 * slot), np.resize(self._many, 2 * slot)
-        if self._used + len(ids) > len(self._ids):
-            self._ids = np.resize(self._ids, 2 * (self._used + len(ids)))
-        self._ids[self._used : self._used + len(ids)] = ids
-        self._from[slot], self._many[slot] = self._used, len(ids)
-        self._used += len(ids)
-        self.known[key] = slot
-        return slot
-
     def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a slice and the offsets of the rows in them."""
         starts = piece_starts(part)
@@ -269,14 +250,9 @@ class Codec:
         ends = np.append(starts[1:], len(part.data))
         hashes = part.rolling().spans(starts, ends)
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.MOST_PIECES:
-            self._forget()
-        raw, known = part.data.tobytes(), self.known
-        slots = np.fromiter((s if (s := known.get(k)) is not None else self._learn(k, raw[starts[w] : ends[w]]) for k, w in zip(keys.tolist(), where.tolist(), strict=True)), dtype=np.int64, count=len(keys))
-        chosen = slots[inverse]
-        many = self._many[chosen]
-        before = np.cumsum(many) - many
-        ids = self._ids[np.repeat(self._from[chosen] - before, many) + np.arange(int(many.sum()))]
+        raw = part.data.tobytes()
+        slots = self.cache.lookup(keys, lambda new: [self.merge(raw[starts[w] : ends[w]]) for w in where[new].tolist()])
+        ids, before = self.cache.gather(*self.cache.spans(slots[inverse]))
         piece_of_row = np.searchsorted(starts, part.off)
         off = np.append(before, len(ids))[piece_of_row]
         if not np.array_equal(self.decode(ids), part.data):  # two pieces with one hash: merge each piece by itself

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.blocks import IS_SPACE, Slice, slices
+from lodestone.llm.blocks import IS_SPACE, Slice, byte_mask, merged, slices
+from lodestone.llm.pieces import PieceCache
 from lodestone.llm.shared import documents, new_path, written
 
 MAGIC = b"LSPLANE1"
@@ -154,59 +155,62 @@ class Reader:
             yield doc, lo, have[: hi - lo]
 
 
+#: Byte values between which a piece may end: an ASCII letter, then plain punctuation.
+_LETTER = byte_mask([*range(0x41, 0x5B), *range(0x61, 0x7B)])
+_PLAIN = byte_mask(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
+
 class WordCodec:
-    """The tokenizers library with its results kept by white-space-delimited piece.
+    """The tokenizers library with its results kept by piece.
 
-    The vocabulary's normaliser and splitter treat pieces between ASCII white space
-    independently, so a text's ids are those of its pieces in order.
+    The vocabulary lower-cases, drops white space and splits runs of letters from runs of
+    punctuation. So a text's ids are those of its pieces between ASCII white space, and
+    such a piece may be cut where an ASCII letter meets plain ASCII punctuation (not an
+    apostrophe, which begins contractions, nor the characters of special tokens). In text
+    without special tokens, pieces that differ in ASCII case only are one.
     """
 
-    MOST_PIECES = 400_000
+    MOST_PIECES = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self._ids, self._from, self._many = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        self._used = 0
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        for key, found in zip(keys, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids, slot = found.ids, len(self.known)
-            if slot >= len(self._from):
-                self._from, self._many = np.resize(self._from, 2 * slot), np.resize(self._many, 2 * slot)
-            if self._used + len(ids) > len(self._ids):
-                self._ids = np.resize(self._ids, 2 * (self._used + len(ids)))
-            self._ids[self._used : self._used + len(ids)] = ids
-            self._from[slot], self._many[slot] = self._used, len(ids)
-            self._used += len(ids)
-            self.known[key] = slot
+        self.cache = PieceCache(self.MOST_PIECES)
 
     def encode(self, part: Slice, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each with the end id appended, and the rows' offsets."""
+        raw = part.data.tobytes()
+        if b"<|" not in raw:
+            part = Slice(part.first, _LOWER[part.data], part.off)
+            raw = part.data.tobytes()
+        data = part.data
         words = part.words()
-        hashes = part.rolling().spans(words.start, words.end) ^ part.rolling(1).spans(words.start, words.end)
+        letter, plain = _LETTER[data], _PLAIN[data]
+        full = ~IS_SPACE[data]
+        cut = np.flatnonzero(((letter[:-1] & plain[1:]) | (plain[:-1] & letter[1:])) & full[1:]) + 1 if len(data) else np.zeros(0, dtype=np.int64)
+        borders = np.zeros(len(data) + 1, dtype=bool)
+        borders[part.off] = True
+        cut = cut[~borders[cut]]
+        start, end = (merged(x, cut, len(data)) for x in (words.start, words.end))
+        row = np.searchsorted(start, part.off)
+        hashes = part.rolling().spans(start, end) ^ part.rolling(1).spans(start, end)
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.MOST_PIECES:
-            self._forget()
-        raw, listed = part.data.tobytes(), keys.tolist()
-        new = [i for i, k in enumerate(listed) if k not in self.known]
-        spans = [(words.start[where[i]], words.end[where[i]]) for i in new]
-        self._learn([listed[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
-        slots = np.fromiter((self.known[k] for k in listed), dtype=np.int64, count=len(listed))
-        chosen = slots[inverse] if len(listed) else np.zeros(0, dtype=np.int64)
+
+        def learn(new: np.ndarray) -> list[list[int]]:
+            spans = zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)
+            return [x.ids for x in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in spans], add_special_tokens=False)]
+
+        slots = self.cache.lookup(keys, learn)[inverse] if len(keys) else np.zeros(0, dtype=np.int32)
         # one more entry after each row's pieces: the end id
-        at = np.arange(len(chosen)) + words.owner()
-        ends = words.row[1:] + np.arange(part.n)
-        start, many = np.zeros(len(chosen) + part.n, dtype=np.int64), np.ones(len(chosen) + part.n, dtype=np.int64)
-        start[at], many[at] = self._from[chosen], self._many[chosen]
-        before = np.cumsum(many) - many
-        ids = self._ids[np.repeat(start - before, many) + np.arange(int(many.sum()))]
+        at = np.arange(len(slots)) + np.repeat(np.arange(part.n), np.diff(row))
+        ends = row[1:] + np.arange(part.n)
+        begin, many = np.zeros(len(slots) + part.n, dtype=np.int64), np.ones(len(slots) + part.n, dtype=np.int64)
+        begin[at], many[at] = self.cache.spans(slots)
+        ids, before = self.cache.gather(begin, many)
         ids[before[ends]] = end_id
         return ids, np.append(0, before[ends] + 1)
 

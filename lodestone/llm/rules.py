@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import IS_SPACE, Rolling, Slice, byte_mask, mix64, slices
+from lodestone.llm.blocks import IS_SPACE, Rolling, Slice, byte_mask, merged, mix64, slices
 from lodestone.llm.shared import documents
 
 SYMBOLS = byte_mask(b"#*$%&|<>")
@@ -79,7 +79,7 @@ class Stats:
         data, off = self.part.data, self.part.off
         breaks = np.flatnonzero(data == 0x0A)
         full = np.diff(off) > 0
-        start = np.union1d(breaks + 1, off[:-1][full])
+        start = merged(breaks + 1, off[:-1][full], len(data))
         start = start[start < len(data)]
         row = np.searchsorted(off, start, side="right") - 1
         stop = np.append(breaks, len(data))[np.searchsorted(breaks, start)]
