@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, mixing, planes, quality, rules, runindex, secrets, substrings
+from lodestone.llm import bpe, mixing, nearcopies, planes, quality, rules, runindex, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_source_mix": mixing.op3_source_mix,
+    "op4_near_copies": nearcopies.op4_near_copies,
     "op5_quality_scores": quality.op5_quality_scores,
     "op6_run_index_dedup": runindex.op6_run_index_dedup,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
