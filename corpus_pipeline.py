@@ -1,16 +1,65 @@
-"""The corpus pipeline over ``documents``."""
+"""The corpus pipeline: quality, near-duplicates, secrets, mixing, tokens.
+
+Each stage takes the documents that its predecessor kept and returns documents with the
+same columns; the last returns the token ids. A driver may write each stage's result and
+hand it to the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lodestone.llm import bpe, mixing, nearcopies, quality, secrets
+from lodestone.llm.shared import written
+
+#: Shingle length in words and least similarity of the near-duplicate stage.
+SHINGLE, SIMILARITY = 5, 0.8
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that the classifier rejects go (score below 0.5).
+
+    The model is fitted on a bounded sample of the labelled documents among ``docs``.
+    """
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: of each group of near copies the document with the smallest id stays."""
+    return nearcopies.keep_one_of_each(docs, SHINGLE, SIMILARITY)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: every secret is replaced by a mark; every document stays."""
+    return secrets.redact_secrets(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents as often as the mix takes them (0 to 3 rows each)."""
+    return mixing.mix_documents(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: doc_id, n_tokens and ids of every document."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+    ("byte_bpe", byte_bpe),
+]
+
+#: The classifier and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order."""
+    """All stages in order over ``documents``, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, mixing, nearcopies, planes, quality, rules, runindex, secrets, substrings
+from lodestone.llm import bpe, mixing, nearcopies, planes, quality, rules, runindex, secrets, substrings, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -18,8 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_token_planes": planes.op9_token_planes,
+    "op10_near_vectors": vectors.op10_near_vectors,
 }
 
 ORACLES: dict[str, str] = {
     "op3_source_mix": mixing.ORACLE_SQL,
+    "op10_near_vectors": vectors.ORACLE_SQL,
 }
