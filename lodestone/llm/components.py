@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,25 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), "links")
     raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
+
+
+def spanning_tree(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) of a spanning forest of a bipartite graph."""
+    rows, cols = near.shape
+    seen_r, seen_c, out = np.zeros(rows, dtype=bool), np.zeros(cols, dtype=bool), []
+    for start in np.flatnonzero(near.any(1)):
+        if seen_r[start]:
+            continue
+        seen_r[start] = True
+        front = np.array([start])
+        while len(front):
+            new_c = np.flatnonzero(near[front].any(0) & ~seen_c)
+            if not len(new_c):
+                break
+            out += zip(front[np.argmax(near[np.ix_(front, new_c)], axis=0)].tolist(), new_c.tolist(), strict=True)
+            seen_c[new_c] = True
+            new_r = np.flatnonzero(near[:, new_c].any(1) & ~seen_r)
+            out += zip(new_r.tolist(), new_c[np.argmax(near[np.ix_(new_r, new_c)], axis=1)].tolist(), strict=True)
+            seen_r[new_r] = True
+            front = new_r
+    return out

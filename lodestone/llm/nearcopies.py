@@ -6,13 +6,15 @@ chosen tokens agree so far. A node with few documents is a leaf; a larger one br
 again by its documents' next minwise token. Two documents of similarity s share a node of
 depth d with probability s**d, so repeating trees drives the recall to its target.
 
-Leaves are compared exhaustively on minwise sketches, and only spanning stars of likely
+Leaves are compared exhaustively on minwise sketches, and only stars over the likely
 pairs leave a leaf, at most a few pairs a document, never all pairs of a group. Pairs are
-confirmed on full sets. A second round compares, leaf by leaf, what the confirmed links
-have not yet joined, so a star that was refuted costs no link.
+confirmed on full sets. A second round compares, leaf by leaf and on full sets, what the
+confirmed links have not yet joined, and returns spanning forests of the links it finds;
+so a star that was refuted costs no link.
 
 A node that stays large at full depth (a huge group of near copies) is dealt into blocks
-that all hold the node's hubs; what does not join a hub is then shown to every block.
+that all hold the node's hubs; what does not join the node's main component is then
+compared with every block.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.blocks import Rolling, Slice, mix64, slices
-from lodestone.llm.components import components
+from lodestone.llm.components import components, spanning_tree
 from lodestone.llm.shared import documents, written
 
 TREES = 12
@@ -125,41 +127,39 @@ def _leaves(reps: DataFrame) -> DataFrame:
     return written(found, "leaves")
 
 
-def _members(leaves: DataFrame, sketched: DataFrame, joined: DataFrame | None) -> DataFrame:
+def _members(leaves: DataFrame, sketched: DataFrame) -> DataFrame:
     """(node, block, doc_id, component, sketch): what each leaf or block is compared on.
 
-    The hubs of a blocked node go to all its blocks; in the second round (``joined``:
-    doc_id, component) so does every member that is not in its first hub's component.
+    The hubs of a blocked node go to all its blocks. No document has a component yet but
+    its own.
     """
     hubs = leaves.where("blocks > 1").groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("doc_id", "node"), F.col("blocks")) == 0, F.col("doc_id")))), 1, HUBS).alias("hubs"))
     rows = leaves.join(hubs, "node", "left").join(sketched, "doc_id")
     everywhere = F.coalesce(F.array_contains("hubs", F.col("doc_id")), F.lit(False))
-    if joined is None:
-        rows = rows.withColumn("component", F.col("doc_id"))
-    else:
-        rows = rows.join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        first = leaves.where("blocks > 1").join(hubs, "node").where(F.col("doc_id") == F.col("hubs")[0]).select("node", "doc_id").join(joined, "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("home"))
-        rows = rows.join(first, "node", "left")
-        everywhere = everywhere | F.coalesce(F.col("component") != F.col("home"), F.lit(False))
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     block = F.explode(F.when(everywhere & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own))
-    return rows.select("node", block.alias("block"), "doc_id", "component", "sketch")
+    return rows.select("node", block.alias("block"), "doc_id", F.col("doc_id").alias("component"), "sketch")
 
 
-def likely_pairs(sketch: np.ndarray, component: np.ndarray, least: float, stars: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of one leaf whose estimate reaches ``least`` and whose components differ.
-
-    With ``stars`` only as many as a few stars over the likely pairs: the best-connected
-    documents with all their neighbours, then stars over what is left uncovered.
-    """
+def likely(sketch: np.ndarray, component: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of one leaf have an estimate of ``least`` or more and differ in component."""
     n = len(sketch)
     near = np.zeros((n, n), dtype=bool)
     for i in range(n - 1):
         near[i, i + 1 :] = (sketch[i + 1 :] == sketch[i]).mean(1) >= least
     near |= near.T
     near &= component[:, None] != component[None, :]
-    degree = near.sum(1)
-    if not stars or degree.sum() <= 2 * n:
+    return near
+
+
+def star_pairs(near: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A few stars over the likely pairs of a leaf, or all pairs if they are as few.
+
+    The best-connected documents with all their neighbours, then stars over what is left
+    uncovered: every document with a likely partner is in some pair.
+    """
+    n, degree = len(near), near.sum(1)
+    if degree.sum() <= 2 * n:
         yield from zip(*np.nonzero(np.triu(near)), strict=True)
         return
     open_, hubs = degree > 0, 0
@@ -177,8 +177,19 @@ def likely_pairs(sketch: np.ndarray, component: np.ndarray, least: float, stars:
         hubs += 1
 
 
-def _likely(members: DataFrame, least: float, stars: bool) -> DataFrame:
-    """(a, b) with a the star's centre: distinct likely pairs over all leaves."""
+def _by_leaf(members: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare``(ids, near, node, block) for each leaf or block of members, each in one piece."""
+
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        ids, component, node = (table.column(i).to_numpy() for i in (2, 3, 0))
+        sketch = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
+        out = [np.zeros((0, 2), dtype=_I)]
+        edges = _borders(table)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi - lo > 1:
+                out.append(compare(ids[lo:hi], node[lo], sketch[lo:hi], component[lo:hi]))
+        a, b = np.concatenate(out).T
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -188,14 +199,35 @@ def _likely(members: DataFrame, least: float, stars: bool) -> DataFrame:
                 if sum(b.num_rows for b in held) >= 20 * LEAF:
                     table = pa.Table.from_batches(held).combine_chunks()
                     cut = _borders(table)[-2]
-                    yield _compared(table.slice(0, cut), least, stars)
+                    if cut:
+                        yield compared(table.slice(0, cut))
                     held = table.slice(cut).to_batches()
         if held:
-            yield _compared(pa.Table.from_batches(held).combine_chunks(), least, stars)
+            yield compared(pa.Table.from_batches(held).combine_chunks())
 
-    # a leaf or block is bounded (LEAF and the replicated rows), so the deal is even
+    # a leaf or block is bounded by LEAF and the hubs, so the deal is even
     dealt = members.repartition("node", "block").sortWithinPartitions("node", "block", "doc_id")
-    return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(search, schema)
+
+
+def _stars(members: DataFrame, least: float) -> DataFrame:
+    """(a, b) with a the star's centre: distinct likely pairs over all leaves."""
+
+    def compare(ids, node, sketch, component):
+        found = list(star_pairs(likely(sketch, component, least)))
+        return ids[np.array(found, dtype=_I).reshape(-1, 2)]
+
+    return _by_leaf(members, compare, "a bigint, b bigint").distinct()
+
+
+def _open(members: DataFrame, least: float) -> DataFrame:
+    """(node, doc_id): the documents of a leaf with a likely partner in another component."""
+
+    def compare(ids, node, sketch, component):
+        some = ids[likely(sketch, component, least).any(1)]
+        return np.stack([np.full(len(some), node), some], axis=1)
+
+    return _by_leaf(members, compare, "node bigint, doc_id bigint")
 
 
 def _borders(table: pa.Table) -> list[int]:
@@ -204,19 +236,6 @@ def _borders(table: pa.Table) -> list[int]:
     return [0, *new.tolist(), len(node)]
 
 
-def _compared(table: pa.Table, least: float, stars: bool) -> pa.RecordBatch:
-    if not table.num_rows:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-    ids, component = table.column(2).to_numpy(), table.column(3).to_numpy()
-    sketch = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
-    out = []
-    for lo, hi in zip(*(lambda x: (x[:-1], x[1:]))(_borders(table)), strict=True):
-        if hi - lo > 1:
-            out += [(ids[lo + i], ids[lo + j]) for i, j in likely_pairs(sketch[lo:hi], component[lo:hi], least, stars)]
-    a, b = np.array(out, dtype=_I).reshape(-1, 2).T
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
 #: Partners that one copy of a star's centre is compared with in a task.
 STAR = 256
 
@@ -253,6 +272,76 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by blocked products of 0/1 matrices."""
+    sizes = [len(s) for s in (*a, *b)]
+    values, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    # an element that only one set has is in no intersection
+    often = np.bincount(at, minlength=len(values)) > 1
+    place = np.cumsum(often) - 1
+    use = often[at]
+    at, row = place[at[use]], row[use]
+    order = np.argsort(at, kind="stable")
+    at, row, n = at[order], row[order], int(often.sum())
+    out = np.zeros((len(a), len(b)))
+    for lo in range(0, n, columns):
+        part = slice(*np.searchsorted(at, [lo, lo + columns]))
+        table = np.zeros((len(sizes), min(columns, n - lo)), dtype=np.float32)
+        table[row[part], at[part] - lo] = 1
+        out += table[: len(a)] @ table[len(a) :].T
+    return out.astype(_I)
+
+
+def _remaining(leaves: DataFrame, reps: DataFrame, joined: DataFrame, texts: DataFrame, size: int, percent: int, least: float) -> DataFrame:
+    """(a, b): the links that stars left out, found on full sets without emitting pairs.
+
+    In leaves, the documents with a likely partner in another component are compared with
+    each other. In blocked nodes, those outside the node's main component are compared with
+    all members, in a grid of blocks. A cell returns a spanning forest of its links.
+    """
+    placed = leaves.join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    members = placed.where("blocks = 1").select("node", F.lit(0).alias("block"), "doc_id", "component").join(reps, "doc_id").select("node", "block", "doc_id", "component", "sketch")
+    small = _open(members, least).select("node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "doc_id")
+    big = placed.where("blocks > 1")
+    home = big.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("home"))
+    rest = big.join(home, "node").where("component <> home").select("node", "doc_id", "blocks")
+    parts = rest.groupBy("node").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("parts"))
+    hashed = F.xxhash64("doc_id")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.join(parts, "node").select("node", F.pmod(hashed, F.col("parts")).cast("int").alias("i"), upto("blocks").alias("j"), F.lit(0).alias("side"), "doc_id")
+    right = big.join(parts, "node").select("node", upto("parts").alias("i"), F.pmod(hashed, F.col("blocks")).cast("int").alias("j"), F.lit(1).alias("side"), "doc_id")
+    cells = small.unionByName(left).unionByName(right).join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(texts.select("doc_id", "text"), "doc_id")
+    dealt = cells.select("node", "i", "j", "side", "doc_id", "component", "text").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, sides = None, ([], [])
+
+        def links() -> pa.RecordBatch:
+            out = np.zeros((0, 2), dtype=_I)
+            if sides[0] and sides[1]:
+                (x, cx, sx), (y, cy, sy) = (list(zip(*s, strict=True)) for s in sides)
+                both = shared_counts(list(sx), list(sy))
+                either = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :] - both
+                near = (both > 0) & (100 * both >= percent * either) & (np.array(cx)[:, None] != np.array(cy)[None, :])
+                out = np.array([(x[i], y[j]) for i, j in spanning_tree(near)], dtype=_I).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
+            for part in slices(batch):
+                for r, own in enumerate(shingle_sets(part, size), start=part.first):
+                    node, i, j, side, doc, component = keys[r]
+                    if (node, i, j) != name:
+                        yield links()
+                        name, sides = (node, i, j), ([], [])
+                    for k in (0, 1) if side == 2 else (side,):
+                        sides[k].append((doc, component, own))
+        yield links()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs.
 
@@ -272,16 +361,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     # one row an exact class, under its smallest doc_id
     reps = written(usable.join(classes, "digest").where("doc_id = rep").groupBy("doc_id").agg(F.first("sketch").alias("sketch")), "reps")
     leaves = _leaves(reps)
-    first = written(_likely(_members(leaves, reps, None), least, stars=True), "pairs")
+    first = written(_stars(_members(leaves, reps), least), "pairs")
     named = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct()
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = written(source.join(named, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    # one plan at every size: the texts are dealt by id, never held beside a broadcast list
+    texts = written(source.join(named.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "texts")
     links = written(_confirmed(first, texts, shingle, percent), "confirmed")
     joined = written(components(links).select(F.col("id").alias("doc_id"), "component"), "components")
-    # what stars left apart: every likely pair across components, without those tried
-    second = _likely(_members(leaves.join(named, "doc_id", "left_semi"), reps, joined), least, stars=False)
-    tried = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = written(_confirmed(written(second.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, shingle, percent), "confirmed")
+    more = written(_remaining(leaves.join(named, "doc_id", "left_semi"), reps, joined, texts, shingle, percent, least), "remaining")
     if not more.isEmpty():
         joined = written(components(links.unionByName(more)).select(F.col("id").alias("doc_id"), "component"), "components")
     grouped = classes.join(joined, F.col("rep") == F.col("doc_id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))

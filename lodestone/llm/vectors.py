@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.components import components
+from lodestone.llm.components import components, spanning_tree
 from lodestone.llm.shared import written
 
 COSINE = 0.93
@@ -115,28 +115,6 @@ def _celled(reps: DataFrame, pivots: dict[str, np.ndarray], radius: float) -> Da
     return reps.select("kind", "rep", "copies", "vec").mapInArrow(run, "kind string, cell int, home boolean, rep bigint, copies bigint, vec binary")
 
 
-def spanning_tree(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (row, column) of a spanning forest of a bipartite graph."""
-    rows, cols = near.shape
-    seen_r, seen_c, out = np.zeros(rows, dtype=bool), np.zeros(cols, dtype=bool), []
-    for start in np.flatnonzero(near.any(1)):
-        if seen_r[start]:
-            continue
-        seen_r[start] = True
-        front = np.array([start])
-        while len(front):
-            new_c = np.flatnonzero(near[front].any(0) & ~seen_c)
-            if not len(new_c):
-                break
-            out += zip(front[np.argmax(near[np.ix_(front, new_c)], axis=0)].tolist(), new_c.tolist(), strict=True)
-            seen_c[new_c] = True
-            new_r = np.flatnonzero(near[:, new_c].any(1) & ~seen_r)
-            out += zip(new_r.tolist(), new_c[np.argmax(near[np.ix_(new_r, new_c)], axis=1)].tolist(), strict=True)
-            seen_r[new_r] = True
-            front = new_r
-    return out
-
-
 def linked(a: list[bytes], b: list[bytes], least: float) -> np.ndarray:
     """Which pairs reach the cosine, in double precision; near ties are summed exactly."""
     x, y = (np.frombuffer(b"".join(v), dtype=np.float64).reshape(len(v), -1) for v in (a, b))

@@ -56,7 +56,8 @@ def test_matches_brute_force(spark, size, percent):
     assert {r.doc_id: tuple(r[1:]) for r in got} == want
 
 
-def test_a_large_group_is_blocked(spark, monkeypatch):
+@pytest.mark.parametrize("edits", [5, 16])
+def test_a_large_group_is_blocked(spark, monkeypatch, edits):
     monkeypatch.setattr(nearcopies, "LEAF", 16)
     monkeypatch.setattr(nearcopies, "STAR", 8)
     rnd = random.Random(9)
@@ -64,7 +65,7 @@ def test_a_large_group_is_blocked(spark, monkeypatch):
     rows = []
     for d in range(150):
         own = list(base)
-        for i in rnd.sample(range(200), rnd.randint(0, 5)):
+        for i in rnd.sample(range(200), rnd.randint(0, edits)):
             own[i] = f"x{rnd.randint(0, 10**6)}"
         rows.append((d, " ".join(own)))
     got = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 0.85).collect()

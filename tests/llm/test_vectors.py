@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from lodestone.llm import vectors
+from lodestone.llm.components import spanning_tree
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, other string"
 
@@ -70,7 +71,7 @@ def test_spanning_trees():
     rng = np.random.default_rng(3)
     for _ in range(50):
         near = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.25
-        edges = vectors.spanning_tree(near)
+        edges = spanning_tree(near)
         assert all(near[i, j] for i, j in edges)
         rows, cols = near.shape
 
