@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestone.plans import corpus, graphs, search
+from lodestone.plans.base import ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "corpus", "graphs", "search"]
+
 FLAGSHIP = "strategy_08_rrf_dedup_mmr"
