@@ -35,7 +35,7 @@ def word_count(text: Column) -> Column:
 def header_of(text: Column) -> Column:
     """The first line of a page that looks like a section header and has at most eight words."""
     lines = F.filter(F.transform(F.split(text, "\\R"), _strip), lambda x: x != "")
-    return F.filter(lines, lambda x: x.rlike(HEADER) & (word_count(x) <= 8))[0]
+    return F.get(F.filter(lines, lambda x: x.rlike(HEADER) & (word_count(x) <= 8)), F.lit(0))
 
 
 def with_sections(pages: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+import difflib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import COMMUNITY_STOPWORDS, SPACES, ascii_words
+from lodestone.sources.cut import cut
 
 # Patterns and word lists that define entities.
 ACRONYM = "\\b[A-Z]{2,10}(?:-[A-Z0-9]+)?\\b"
@@ -51,8 +53,12 @@ def mentions(chunks: DataFrame) -> DataFrame:
     camels = F.filter(found(CAMEL_CASE), lambda w: ~F.array_contains(ignored, F.upper(w)))
     proper = F.filter(found(PROPER_NOUN), lambda w: F.exists(F.split(w, SPACES), lambda x: ~F.array_contains(ignored, F.upper(x))))
     concepts = F.filter(F.transform(proper, normalize_name), lambda w: (F.length(w) > 4) & ~w.rlike(AFFILIATION) & ~w.rlike(PERSON))
-    tagged = [F.transform(F.array_distinct(names), lambda w, i=i: F.struct(w.alias("name"), F.lit(i).alias("priority"))) for i, names in enumerate((sections, acronyms, camels, concepts))]
-    return chunks.select("chunk_id", "doc_name", F.explode(F.concat(*tagged)).alias("m")).select("chunk_id", "doc_name", "m.name", "m.priority")
+
+    def tagged(names: Column, priority: int) -> Column:
+        return F.transform(F.array_distinct(names), lambda w: F.struct(w.alias("name"), F.lit(priority).alias("priority")))
+
+    every = F.concat(*[tagged(names, i) for i, names in enumerate((sections, acronyms, camels, concepts))])
+    return chunks.select("chunk_id", "doc_name", F.explode(every).alias("m")).select("chunk_id", "doc_name", "m.name", "m.priority")
 
 
 def entities(found: DataFrame) -> DataFrame:
@@ -81,10 +87,6 @@ def resolve_fuzzy(ents: DataFrame, threshold: float = 0.88) -> DataFrame:
     lengths that allow the ratio; an earlier entity matches if it has the same type or the
     later one is a CONCEPT. Each later name goes to its earliest match, then to that one's.
     """
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
@@ -175,15 +177,14 @@ def communities(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> Data
     Labels fall to the smallest among neighbours, then jump to their label's label; each
     round is written to the checkpoint folder. Isolated vertices are their own community.
     """
-    spark = vertices.sparkSession
     both = edges.select(F.col("src").alias("name"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("name"), F.col("src").alias("other"))).distinct()
-    both = _cut(spark, both)
-    labels, before = _cut(spark, vertices.select("name", F.col("name").alias("community"))), None
+    both = cut(both)
+    labels, before = cut(vertices.select("name", F.col("name").alias("community"))), None
     for _ in range(rounds):
         near = both.join(labels.select(F.col("name").alias("other"), "community"), "other").groupBy("name").agg(F.min("community").alias("m"))
         lower = labels.join(near, "name", "left").select("name", F.least("community", F.coalesce("m", "community")).alias("community"))
         jump = lower.select(F.col("name").alias("community"), F.col("community").alias("next"))
-        labels = _cut(spark, lower.join(jump, "community").select("name", F.col("next").alias("community")))
+        labels = cut(lower.join(jump, "community").select("name", F.col("next").alias("community")))
         state = labels.agg(F.sum(F.xxhash64("name", "community").cast("decimal(38,0)"))).first()[0]
         if state == before:
             return labels
@@ -191,24 +192,6 @@ def communities(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> Data
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
-def _cut(spark, df: DataFrame) -> DataFrame:
-    """df, written where the executors share files, so that loops don't grow the plan."""
-    import tempfile
-
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-            known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = known.get()
-    path = f"{path.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # --- queries against a graph
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import jaccard, words_by_space
+from lodestone.sources.cut import cut
 
 THRESHOLD, MAX_RESULTS, MMR_POOL, LAMBDA = 0.65, 10, 20, 0.7
 #: Entries of a ranking that are looked at first; the pool doubles while it proves too small.
@@ -35,7 +36,7 @@ def dedup(ranking: DataFrame, texts: DataFrame, most: int = MAX_RESULTS, thresho
     """
     pool = FIRST_POOL
     while True:
-        found = _deduplicated(ranking, texts, pool, most, threshold)
+        found = cut(_deduplicated(ranking, texts, pool, most, threshold))
         if found.where((F.size("kept") < most) & (F.col("seen") >= pool)).isEmpty():
             break
         pool *= 2

@@ -86,14 +86,14 @@ def top_sql(name: str, k: int = 10) -> str:
 def dedup_sql(name: str, of: str, most: int, pool: int = 400) -> str:
     """Greedy dedup as a recursion over ranks that carries the accepted token lists."""
     return f"""{name}_p AS (SELECT r.query_id, r.rank, r.chunk_id, r.score, list_distinct({SPLIT.format('fmt')}) AS w FROM {of} r JOIN c USING (chunk_id) WHERE rank <= {pool}),
-{name}_r(query_id, at, kept, words) AS (
+{name}_r(query_id, lvl, kept, words) AS (
   SELECT query_id, 0, []::STRUCT(chunk_id BIGINT, score DOUBLE)[], []::VARCHAR[][] FROM q
   UNION ALL
   SELECT r.query_id, p.rank,
     CASE WHEN ok THEN list_append(kept, {{'chunk_id': p.chunk_id, 'score': p.score}}) ELSE kept END,
     CASE WHEN ok THEN list_append(words, p.w) ELSE words END
-  FROM {name}_r r JOIN {name}_p p ON p.query_id = r.query_id AND p.rank = r.at + 1,
+  FROM {name}_r r JOIN {name}_p p ON p.query_id = r.query_id AND p.rank = r.lvl + 1,
   LATERAL (SELECT len(list_filter(words, lambda x: len(x) > 0 AND len(p.w) > 0 AND len(list_intersect(x, p.w)) >= 0.65 * (len(x) + len(p.w) - len(list_intersect(x, p.w))))) = 0 AS ok)
   WHERE len(kept) < {most}),
 {name} AS (SELECT query_id, k.chunk_id AS chunk_id, k.score AS score, pos::INTEGER AS rank FROM (
-  SELECT query_id, unnest(kept) AS k, generate_subscripts(kept, 1) AS pos FROM (SELECT query_id, arg_max(kept, at) AS kept FROM {name}_r GROUP BY query_id)))"""
+  SELECT query_id, unnest(kept) AS k, generate_subscripts(kept, 1) AS pos FROM (SELECT query_id, arg_max(kept, lvl) AS kept FROM {name}_r GROUP BY query_id)))"""
