@@ -97,12 +97,12 @@ def ppmi_weights(spark, sf_dir):
     return sc.ppmi_weights(sc.ppmi_cooccurrence(chunks, vocabulary), vocabulary)
 
 
-@query("r8_ppmi_query_embeddings", f"WITH {C}, {PPMI_SCORE} SELECT query_id, ctx, round(v, 6) AS v FROM qe")
+@query("r8_ppmi_query_embeddings", f"WITH {C}, {PPMI_SCORE} SELECT query_id, ctx, round(v, 9) AS v FROM qe")
 def ppmi_query_embeddings(spark, sf_dir):
     b = Base(spark, sf_dir)
     vocabulary = sc.ppmi_vocabulary(b.chunks)
     weights = sc.ppmi_weights(sc.ppmi_cooccurrence(b.chunks, vocabulary), vocabulary)
-    return sc.ppmi_embeddings(b.queries, "query_id", "query_text", weights).select("query_id", "ctx", F.round("v", 6).alias("v"))
+    return sc.ppmi_embeddings(b.queries, "query_id", "query_text", weights).select("query_id", "ctx", F.round("v", 9).alias("v"))
 
 
 @query("r10_ppmi_scores", f"WITH {C}, {PPMI_SCORE} SELECT query_id, chunk_id, round(score, 6) AS score FROM pp_s WHERE score > 0")
