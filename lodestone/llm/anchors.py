@@ -148,7 +148,10 @@ def scan(docs: DataFrame, units_of: UnitsOf, whole_of: Callable[[Slice], list[by
         twice = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     else:
         twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = anchors.join(twice.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    # a table of its own: then both sides of the join are dealt out for it, and the rows of an
+    # anchor that a third of all documents hold can be split over tasks
+    twice = written(twice.select("anchor"), "repeated")
+    wanted = anchors.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     texts = written(source.join(wanted, "doc_id").select("doc_id", "text", "anchors"), "candidates")
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +177,7 @@ def scan(docs: DataFrame, units_of: UnitsOf, whole_of: Callable[[Slice], list[by
 
 def contested(classes: DataFrame) -> DataFrame:
     """Representatives of the segments whose anchor has others: with m, how many."""
-    several = classes.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    several = written(classes.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "several")
     return classes.join(several, "anchor").select("anchor", "m", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.start").alias("start"), "many")
 
 

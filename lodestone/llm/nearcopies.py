@@ -117,7 +117,8 @@ def _leaves(reps: DataFrame) -> DataFrame:
     open_, found = _paths(reps), None
     for d in range(DEPTH):
         named = open_.withColumn("node", F.col("path")[d])
-        sizes = named.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        # a table of its own, so that a node of very many documents can be split in the join
+        sizes = written(named.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         # only the first level is large; from there on a table cuts the lineage
         joined = written(named.join(sizes, "node"), "nodes")
         done = joined.where(F.col("size") <= LEAF) if d + 1 < DEPTH else joined
