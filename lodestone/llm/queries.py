@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, mixing, nearcopies, planes, quality, rules, runindex, secrets, substrings, vectors
+from lodestone.llm import bpe, mixing, nearcopies, oracles, planes, quality, rules, runindex, secrets, substrings, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -22,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRINGS,
     "op3_source_mix": mixing.ORACLE_SQL,
+    "op4_near_copies": oracles.NEAR_COPIES,
+    "op8_quality_rules": oracles.RULES,
     "op10_near_vectors": vectors.ORACLE_SQL,
 }
