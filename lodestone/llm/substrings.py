@@ -42,10 +42,23 @@ def _survivors(docs: DataFrame, min_words: int) -> tuple[anchors.Scan, DataFrame
     # the first holder of each contested segment: its windows against all others of the anchor
     windows = written(anchors.window_hashes(scan.texts, anchors.contested(scan.classes), word_units, min_words), "windows")
     earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    single = windows.join(earliest, ["h1", "h2"]).where("doc_id > first").select("doc_id", "start", F.lit(1).alias("many"))
-    return scan, settled.unionByName(single)
+    single = written(windows.join(earliest, ["h1", "h2"]).where("doc_id > first").select("doc_id", "start"), "single")
+    repeated = single.unionByName(_again(scan, single)).withColumn("many", F.lit(1))
+    return scan, settled.unionByName(repeated)
 
 
+def _again(scan: anchors.Scan, single: DataFrame) -> DataFrame:
+    """(doc_id, start): the windows of ``single`` where their document repeats the segment.
+
+    Only one occurrence of a segment in its first document is compared; what repeats there
+    repeats in the document's other occurrences at the same place.
+    """
+    reps = scan.classes.where("n > 1").select("anchor", "h1", "h2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.start").alias("rep_start"))
+    # joined by document too, so a segment of very many documents stays spread out
+    twins = scan.found.join(reps, ["anchor", "h1", "h2", "doc_id"]).where("start <> rep_start").select("doc_id", "rep_start", "many", (F.col("start") - F.col("rep_start")).alias("shift")).distinct()
+    inside = twins.select("doc_id", "rep_start", "many").distinct().select("doc_id", "rep_start", F.explode(F.expr("sequence(rep_start, rep_start + many - 1)")).alias("start"))
+    return single.join(inside, ["doc_id", "start"]).join(twins.select("doc_id", "rep_start", "shift"), ["doc_id", "rep_start"]).select("doc_id", (F.col("start") + F.col("shift")).alias("start"))
+
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the words that repeat an earlier document: one row for each row.

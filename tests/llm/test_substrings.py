@@ -60,6 +60,17 @@ def test_odd_rows(spark, tricky, no_docs):
     assert all(r.n_removed == 0 for r in substrings.remove_repeats(unnamed).collect())
 
 
+@pytest.mark.parametrize("times", [2, 3])
+def test_a_segment_repeated_inside_its_first_document(spark, times):
+    unique = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    own = f"{unique('y', 70)} {unique('p', 60)} {unique('z', 70)}"
+    rows = [(1, f"{unique('a', 80)} {unique('p', 60)} {unique('b', 80)}"), (5, " ".join([own] * times)), (6, f"{unique('c', 60)} {own}")]
+    want = brute(rows, 50)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert want[5][1] == 60 * times
+    assert {r.doc_id: tuple(r[1:4]) for r in got} == want
+
+
 def test_doubling_until_nothing_survives(spark):
     words = [f"a{i}" for i in range(300)]
     rows = [(1, " ".join(words)), (2, "x " + " ".join(words[:110]) + " y"), (3, "z " + " ".join(words[10:250])), (4, " ".join(f"b{i}" for i in range(99)))]
