@@ -164,11 +164,15 @@ def star_pairs(near: np.ndarray) -> Iterator[tuple[int, int]]:
         return
     open_, hubs = degree > 0, 0
     while open_.any():
-        reach = near.sum(1) if hubs < HUBS else (near & open_[None, :]).sum(1)
-        reach[~open_ if hubs >= HUBS else degree == 0] = 0
+        if hubs < HUBS:
+            reach = near.sum(1)
+            reach[degree == 0] = 0
+        else:
+            reach = np.where(open_, (near & open_[None, :]).sum(1), 0)
+            if not reach.any():
+                # all partners are covered, though not this one: no hub is among them
+                reach = np.where(open_, near.sum(1), 0)
         hub = int(np.argmax(reach))
-        if not reach[hub]:
-            break
         others = np.flatnonzero(near[hub])
         yield from ((hub, int(o)) for o in others)
         near[hub, :] = near[:, hub] = False

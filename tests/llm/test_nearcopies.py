@@ -72,6 +72,21 @@ def test_a_large_group_is_blocked(spark, monkeypatch, edits):
     assert {r.doc_id: tuple(r[1:]) for r in got} == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("chains", [1, 3])
+def test_stars_cover_documents_whose_partners_are_covered(chains):
+    # 57 mutual copies, c like 32 of them, d like c only
+    n = 57 + 2 * chains
+    near = np.zeros((n, n), dtype=bool)
+    near[:57, :57] = True
+    for k in range(chains):
+        c, d = 57 + 2 * k, 58 + 2 * k
+        near[c, :32] = near[:32, c] = near[c, d] = near[d, c] = True
+    np.fill_diagonal(near, False)
+    found = list(nearcopies.star_pairs(near.copy()))
+    assert all(near[a, b] for a, b in found)
+    assert {x for pair in found for x in pair} == set(range(n))
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
