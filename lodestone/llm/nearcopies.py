@@ -13,8 +13,9 @@ confirmed links have not yet joined, and returns spanning forests of the links i
 so a star that was refuted costs no link.
 
 A node that stays large at full depth (a huge group of near copies) is dealt into blocks
-that all hold the node's hubs; what does not join the node's main component is then
-compared with every block.
+that all hold the node's hubs; what finds no likely partner there is screened on sketches
+against every block, and what does not join the node's main component is then compared
+with every block on full sets.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ DEPTH = 5
 #: Documents in a leaf, or in a block of a node that stays larger.
 LEAF = 128
 HUBS = 4
+#: Documents on either side of a cell in which a blocked node is screened on sketches.
+SCREEN = 1024
 #: Standard errors by which a sketch's estimate may fall short of the threshold.
 MARGIN = 3.7
 
@@ -234,6 +237,57 @@ def _open(members: DataFrame, least: float) -> DataFrame:
     return _by_leaf(members, compare, "node bigint, doc_id bigint")
 
 
+def _screened(leaves: DataFrame, first: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
+    """(a, b): for each document of a blocked node in none of ``first``, a likely partner in it.
+
+    Blocks and hubs leave most pairs of such a node uncompared. Its documents without a pair
+    are compared with all its members, in a grid of cells; one partner a cell is enough for
+    the second round to compare both on full sets.
+    """
+    big = leaves.where("blocks > 1").select("node", "doc_id")
+    lone = big.join(named_in(first), "doc_id", "left_anti")
+    parts = lone.groupBy("node").agg(F.ceil(F.count("*") / SCREEN).cast("int").alias("parts"))
+    sizes = big.groupBy("node").agg(F.ceil(F.count("*") / SCREEN).cast("int").alias("places"))
+    grid = parts.join(sizes, "node")
+    # other bits than those that deal rows to tasks
+    hashed = F.xxhash64("doc_id", F.lit(1))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = lone.join(grid, "node").select("node", F.pmod(hashed, F.col("parts")).cast("int").alias("i"), upto("places").alias("j"), F.lit(0).alias("side"), "doc_id")
+    right = big.join(grid, "node").select("node", upto("parts").alias("i"), F.pmod(hashed, F.col("places")).cast("int").alias("j"), F.lit(1).alias("side"), "doc_id")
+    cells = left.unionByName(right).join(sketched, "doc_id").select("node", "i", "j", "side", "doc_id", "sketch")
+    dealt = cells.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "side", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, sides = None, ([], [])
+
+        def pairs() -> pa.RecordBatch:
+            out = []
+            if sides[0] and sides[1]:
+                ids = np.array([doc for doc, _ in sides[1]], dtype=_I)
+                table = np.frombuffer(b"".join(s for _, s in sides[1]), dtype=np.uint32).reshape(len(ids), -1)
+                for doc, sketch in sides[0]:
+                    alike = np.where(ids == doc, 0.0, (table == np.frombuffer(sketch, dtype=np.uint32)).mean(1))
+                    best = int(np.argmax(alike))
+                    if alike[best] >= least:
+                        out.append((doc, int(ids[best])))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for node, i, j, side, doc, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (node, i, j) != name:
+                    yield pairs()
+                    name, sides = (node, i, j), ([], [])
+                sides[side].append((doc, sketch))
+        yield pairs()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def named_in(pairs: DataFrame) -> DataFrame:
+    """(doc_id): the documents in any of the pairs."""
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
 def _borders(table: pa.Table) -> list[int]:
     node, block = table.column(0).to_numpy(), table.column(1).to_numpy()
     new = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
@@ -366,7 +420,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     reps = written(usable.join(classes, "digest").where("doc_id = rep").groupBy("doc_id").agg(F.first("sketch").alias("sketch")), "reps")
     leaves = _leaves(reps)
     first = written(_stars(_members(leaves, reps), least), "pairs")
-    named = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct()
+    if not leaves.where("blocks > 1").isEmpty():
+        first = first.unionByName(written(_screened(leaves, first, reps, least), "screened"))
+    named = named_in(first)
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # one plan at every size: the texts are dealt by id, never held beside a broadcast list
     texts = written(source.join(named.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "texts")

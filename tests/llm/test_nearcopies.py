@@ -72,6 +72,23 @@ def test_a_large_group_is_blocked(spark, monkeypatch, edits):
     assert {r.doc_id: tuple(r[1:]) for r in got} == brute(rows, 3, 85)
 
 
+def test_near_copies_in_different_blocks(spark, monkeypatch):
+    # one blocked node and no small leaf of another tree that could make up for it
+    monkeypatch.setattr(nearcopies, "_leaves", lambda reps: reps.selectExpr("1L AS node", "doc_id", "20 AS blocks"))
+    monkeypatch.setattr(nearcopies, "SCREEN", 16)
+    rnd = random.Random(4)
+    fixed = [f"t{i}" for i in range(130)]
+    rows = []
+    for d in range(60):
+        own = fixed + [f"d{d}x{i}" for i in range(70)]
+        rows.append((d, " ".join(own)))
+        if d % 3 == 0:
+            own[rnd.randrange(200)] = "edit"
+            rows.append((500 + d, " ".join(own)))
+    got = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 0.85).collect()
+    assert {r.doc_id: tuple(r[1:]) for r in got} == brute(rows, 3, 85)
+
+
 @pytest.mark.parametrize("chains", [1, 3])
 def test_stars_cover_documents_whose_partners_are_covered(chains):
     # 57 mutual copies, c like 32 of them, d like c only
