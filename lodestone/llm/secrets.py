@@ -38,7 +38,7 @@ _RUN = byte_mask(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]+")
-#: Numbers, dates and the like; words in snake, kebab, path or camel form.
+#: Numbers, dates and the like; what words in snake, kebab, path or camel form look like.
 _NUMBERS = re.compile(r"[0-9+/_=-]+")
 _NAMES = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}|[+/_=-]+)+")
 
@@ -66,18 +66,30 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def is_identifier(run: str) -> bool:
-    """Digests, UUIDs, numbers and names made of words: random-looking at times, never secret."""
+    """Digests, UUIDs and numbers: random-looking at times, never secret."""
     if _UUID.fullmatch(run) or _NUMBERS.fullmatch(run):
         return True
-    if _HEX_ANY.fullmatch(run) and len(run) in DIGEST_LENGTHS:
-        return True
-    # a name changes between letter case, digits and separators only a few times
+    return bool(_HEX_ANY.fullmatch(run)) and len(run) in DIGEST_LENGTHS
+
+
+def has_name_form(run: str) -> bool:
+    """Whether the run changes between letter case, digits and separators only a few times.
+
+    So do names made of words, and random strings in one letter case.
+    """
     pieces = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", run)
     return bool(_NAMES.fullmatch(run)) and bool(pieces) and sum(map(len, pieces)) / len(pieces) >= 4
 
 
 def is_random(run: str, encoding, max_ratio: float = MAX_CHARS_PER_TOKEN) -> bool:
-    return not is_identifier(run) and len(run) <= max_ratio * len(encoding.encode_ordinary(run))
+    """Many short tokens; for a run in the form of a name also in lower case.
+
+    A vocabulary knows few words in capitals, but the same words in small letters.
+    """
+    if is_identifier(run):
+        return False
+    forms = {run, run.lower()} if has_name_form(run) else {run}
+    return all(len(run) <= max_ratio * len(encoding.encode_ordinary(x)) for x in forms)
 
 
 def scan_slice(part: Slice, encoding, min_run: int, max_ratio: float) -> list[list[tuple[int, int, int]]]:

@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import string
+
+import pytest
 
 from lodestone.llm import secrets
 
@@ -39,6 +43,19 @@ def test_random_strings_found_and_identifiers_left(tricky):
     assert [text[int(a) : int(b)] for _, a, b in found] == ["q8Zk2LmX9vB4tR7wY1cN6pJ3sD5f"]
 
 
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, string.ascii_uppercase, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits])
+@pytest.mark.parametrize("length", [20, 32])
+def test_random_strings_of_few_letters_are_found(letters, length):
+    rnd, encoding = random.Random(length), secrets._encoding(secrets.vocabulary_path())
+    runs = ["".join(rnd.choice(letters) for _ in range(length)) for _ in range(500)]
+    assert sum(secrets.is_random(run, encoding) for run in runs) >= 0.95 * len(runs)
+
+
+@pytest.mark.parametrize("name", ["some_long_snake_case_name", "internationalization_settings", "src/components/navigation/header", "MAXIMUM_CONNECTION_ATTEMPTS", "getElementsByClassName", "state-of-the-art-methods", "2026-11-26/2026-12-31"])
+def test_names_made_of_words_are_left(name):
+    assert not secrets.is_random(name, secrets._encoding(secrets.vocabulary_path()))
+
+
 def test_redaction_keeps_rows_and_columns(tricky):
     out = secrets.redact_secrets(tricky)
     assert out.columns == tricky.columns and out.count() == tricky.count()
