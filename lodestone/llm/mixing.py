@@ -76,7 +76,7 @@ def position_of(share: Column, ramp_from: Column, ramp_to: Column) -> Column:
     return F.least(F.when(share <= 0, F.lit(0.0)).otherwise(F.lit(2.0) * share / (ramp_from + root)), F.lit(1.0))
 
 
-def plan_mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def plan_mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
     """The mix of docs (doc_id, text, source): one row for each row of docs.
 
     Columns: doc_id, size, source_size, target, taken (words, repeats counted), copies,
@@ -87,10 +87,11 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     Null and empty texts have size 0 and are never taken; a null source is a source of
     its own, the last; a null doc_id is ordered like any value; equal rows stay apart and
     may differ in copies by one; other columns are ignored; no rows give no rows. The
-    order within a source is that of md5(doc_id), then doc_id, then size: reruns agree.
+    order within a source is that of md5(doc_id), then doc_id, then size, then the columns
+    of docs named in ``carry``, which the plan keeps: reruns agree.
     """
     # sizes are written once: three branches read them, and none should scan the texts again
-    sized = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")), "sizes")
+    sized = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *carry), "sizes")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     keyed = sized.withColumn("key", key).withColumn("bucket", F.substring("key", 1, HEX_DIGITS))
     buckets = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -98,33 +99,39 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = buckets.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(by_bucket), F.lit(0)).alias("before_bucket"))
     plan = placed.alias("p").join(targets(sized, weights, max_epochs).alias("t"), F.expr("p.source <=> t.source")).select("p.source", "bucket", "before_bucket", "source_size", "target", "ramp_from", "ramp_to")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.withColumn("before_here", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = local.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source AND d.bucket = p.bucket"))
     before = F.col("before_bucket") + F.col("before_here")
     # the document's middle in epoch e lies at e * source_size + before + size / 2
     reached = F.floor((F.col("target") - before - F.col("size") / 2.0) / F.col("source_size")).cast("bigint") + 1
     copies = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(reached, F.lit(max_epochs).cast("bigint")))).otherwise(F.lit(0)).cast("bigint")
-    mixed = joined.select("d.doc_id", "size", "source_size", "target", copies.alias("copies"), before.alias("before"), "ramp_from", "ramp_to")
+    mixed = joined.select("d.doc_id", "size", "source_size", "target", copies.alias("copies"), before.alias("before"), "ramp_from", "ramp_to", *carry)
     at = F.when(F.col("copies") > 0, position_of(F.col("before") / F.col("target"), F.col("ramp_from"), F.col("ramp_to")))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "before", at.alias("position"), "ramp_from", "ramp_to")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "before", at.alias("position"), "ramp_from", "ramp_to", *carry)
 
 
-def mix_positions(plan: DataFrame) -> DataFrame:
-    """One row for each use of a document: (doc_id, epoch, position), range-sorted."""
+def _uses(plan: DataFrame, *carry: str) -> DataFrame:
     used = plan.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
     share = (F.col("epoch") * F.col("source_size") + F.col("before")) / F.col("target")
-    return used.select("doc_id", "epoch", position_of(share, F.col("ramp_from"), F.col("ramp_to")).alias("position")).orderBy("position", "doc_id", "epoch")
+    return used.select("doc_id", "epoch", position_of(share, F.col("ramp_from"), F.col("ramp_to")).alias("position"), *carry)
+
+
+def mix_positions(plan: DataFrame) -> DataFrame:
+    """One row for each use of a document: (doc_id, epoch, position), range-sorted."""
+    return _uses(plan).orderBy("position", "doc_id", "epoch")
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mix itself: rows of docs with all their columns, as often as they are taken.
+    """The mix itself: rows of docs with all their columns, one for each use, range-sorted by
+    training position.
 
     Rows with a null doc_id are left out, since a use can't be told apart by id.
     """
-    uses = plan_mix(docs.where("doc_id is not null"), weights, max_epochs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(uses, "doc_id").select(*[F.col(c) for c in docs.columns], "_copies")
-    return joined.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_epoch")
+    # rows are numbered in a table, so that the plan and the join see the same numbers
+    rows = written(docs.where("doc_id is not null").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    uses = _uses(plan_mix(rows, weights, max_epochs, ("_row",)), "_row").select("_row", F.col("position").alias("_position"), F.col("epoch").alias("_epoch"))
+    return rows.join(uses, "_row").orderBy("_position", "doc_id", "_epoch", "_row").select(*docs.columns)
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,13 @@ def test_positions_follow_the_integrated_schedule(spark):
     assert order == sorted(order)
 
 
+def test_mixed_documents_come_in_training_order(spark):
+    docs = spark.createDataFrame([(i, "a b c d e", f"s{i % 3}") for i in range(600)], "doc_id bigint, text string, source string").repartition(3)
+    want = [r.doc_id for r in mixing.mix_positions(mixing.plan_mix(docs)).collect()]
+    assert len(want) > len(set(want))
+    assert [r.doc_id for r in mixing.mix_documents(docs).collect()] == want
+
+
 def test_no_python_in_the_plan(spark, tricky):
     plan = mixing.plan_mix(tricky)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
