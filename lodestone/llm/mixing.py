@@ -126,10 +126,10 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS
     """The mix itself: rows of docs with all their columns, one for each use, range-sorted by
     training position.
 
-    Rows with a null doc_id are left out, since a use can't be told apart by id.
+    Rows with a null doc_id are mixed like any other.
     """
     # rows are numbered in a table, so that the plan and the join see the same numbers
-    rows = written(docs.where("doc_id is not null").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     uses = _uses(plan_mix(rows, weights, max_epochs, ("_row",)), "_row").select("_row", F.col("position").alias("_position"), F.col("epoch").alias("_epoch"))
     return rows.join(uses, "_row").orderBy("_position", "doc_id", "_epoch", "_row").select(*docs.columns)
 

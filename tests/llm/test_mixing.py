@@ -65,6 +65,12 @@ def test_mixed_documents_come_in_training_order(spark):
     assert [r.doc_id for r in mixing.mix_documents(docs).collect()] == want
 
 
+def test_documents_without_an_id_are_mixed(spark):
+    rows = [(None if i % 3 == 0 else i, f"a b c {i}", "s") for i in range(30)]
+    out = mixing.mix_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted(rows, key=repr)
+
+
 def test_no_python_in_the_plan(spark, tricky):
     plan = mixing.plan_mix(tricky)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
