@@ -34,9 +34,9 @@ _I = np.int64
 
 @dataclass
 class Units:
-    """What windows are made of: two code sequences, and the rows' offsets in them."""
+    """What windows are made of: two code sequences, made on demand, and the rows' offsets."""
 
-    codes: tuple[np.ndarray, np.ndarray]
+    code: Callable[[int], np.ndarray]
     row: np.ndarray
 
     def owner(self) -> np.ndarray:
@@ -48,6 +48,7 @@ class Segments:
     """Maximal runs of windows around one occurrence of their anchor.
 
     Equal windows hold their anchor at the same place, so they are in different segments.
+    A segment may be cut in two where a long text is walked in parts; each has its own windows.
     """
 
     anchor: np.ndarray
@@ -61,7 +62,7 @@ class Segments:
 
 def segments(units: Units, width: int, part: int) -> tuple[Segments, Rolling]:
     """The segments of a slice, and the rolling hash they were found with."""
-    rolling = Rolling.over(units.codes[0])
+    rolling = Rolling.over(units.code(0))
     grams = rolling.windows(part)
     least = window_min(grams, width - part + 1)
     n = len(least)
@@ -106,7 +107,8 @@ def among(values: np.ndarray, rows: np.ndarray, set_values: np.ndarray, set_rows
     return (names[slot] == left["v"]) & (keys[spot] == wanted)
 
 
-UnitsOf = Callable[[Slice], Units]
+#: A slice as units, in parts that hold every window once: (units, offset in the only row).
+UnitsOf = Callable[[Slice, int], Iterator[tuple[Units, int]]]
 
 
 @dataclass
@@ -134,10 +136,14 @@ def scan(docs: DataFrame, units_of: UnitsOf, whole_of: Callable[[Slice], list[by
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                units = units_of(piece)
-                seg, _ = segments(units, width, part)
+                found, n = [], np.zeros(piece.n, dtype=_I)
+                for units, offset in units_of(piece, width):
+                    seg, _ = segments(units, width, part)
+                    found.append((seg.anchor, seg.row))
+                    n = np.maximum(n, np.diff(units.row) + offset)
+                anchor, row = (np.concatenate(x) for x in zip(*found, strict=True))
                 digests = [hashlib.sha256(x).digest() for x in whole_of(piece)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), pa.array(np.diff(units.row).astype(_I)), pa.array(digests, pa.binary()), per_row(seg.anchor, seg.row, piece.n)], ["doc_id", "n", "digest", "anchors"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), pa.array(n), pa.array(digests, pa.binary()), per_row(anchor, row, piece.n)], ["doc_id", "n", "digest", "anchors"])
 
     passed = written(source.mapInArrow(first_pass, "doc_id bigint, n bigint, digest binary, anchors array<bigint>"), "anchors")
     equal = passed.where(F.col("n") >= width).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
@@ -158,17 +164,16 @@ def scan(docs: DataFrame, units_of: UnitsOf, whole_of: Callable[[Slice], list[by
         for batch in batches:
             values, rows = listed(batch.column(2))
             for piece in slices(batch):
-                units = units_of(piece)
-                seg, one = segments(units, width, part)
                 mine = slice(*np.searchsorted(rows, [piece.first, piece.first + piece.n]))
-                seg = seg.where(among(seg.anchor, seg.row, values[mine], rows[mine] - piece.first))
-                two = Rolling.over(units.codes[1], 1)
-                end = seg.start + seg.many + width - 1
                 ids = batch.column(0).slice(piece.first, piece.n).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (seg.anchor, one.spans(seg.start, end).view(_I), two.spans(seg.start, end).view(_I), ids[seg.row], (seg.start - units.row[seg.row]).astype(np.int32), seg.many.astype(np.int32))],
-                    ["anchor", "h1", "h2", "doc_id", "start", "many"],
-                )
+                for units, offset in units_of(piece, width):
+                    seg, one = segments(units, width, part)
+                    seg = seg.where(among(seg.anchor, seg.row, values[mine], rows[mine] - piece.first))
+                    end = seg.start + seg.many + width - 1
+                    h1 = one.spans(seg.start, end).view(_I)
+                    h2 = Rolling.over(units.code(1), 1).spans(seg.start, end).view(_I)
+                    begin = seg.start - units.row[seg.row] + offset
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seg.anchor, h1, h2, ids[seg.row], begin.astype(np.int32), seg.many.astype(np.int32))], ["anchor", "h1", "h2", "doc_id", "start", "many"])
 
     found = written(texts.mapInArrow(second_pass, "anchor bigint, h1 bigint, h2 bigint, doc_id bigint, start int, many int"), "segments")
     classes = written(found.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("rep"), F.first("many").alias("many")), "classes")
@@ -193,30 +198,45 @@ def spans_of(col: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
 
 
 def window_hashes(texts: DataFrame, spans: DataFrame, units_of: UnitsOf, width: int) -> DataFrame:
-    """(h1, h2, doc_id, start) of every window in the spans: 128-bit fingerprints."""
+    """(h1, h2, doc_id, start) of every window in the spans: 128-bit fingerprints. For units in one part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, structs = spans_of(batch.column(2))
             begin, many = (structs.field(i).to_numpy().astype(_I) for i in range(2))
             for piece in slices(batch):
-                units = units_of(piece)
+                ((units, _),) = units_of(piece, width)
                 mine = slice(*np.searchsorted(rows, [piece.first, piece.first + piece.n]))
                 row = np.repeat(rows[mine] - piece.first, many[mine])
                 done = np.cumsum(many[mine]) - many[mine]
                 inside = np.repeat(begin[mine] - done, many[mine]) + np.arange(int(many[mine].sum()))
                 at = inside + units.row[row]
                 ids = batch.column(0).slice(piece.first, piece.n).to_numpy()
-                hashes = [Rolling.over(units.codes[k], k).spans(at, at + width).view(_I) for k in (0, 1)]
+                hashes = [Rolling.over(units.code(k), k).spans(at, at + width).view(_I) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes, ids[row], inside.astype(np.int32))], ["h1", "h2", "doc_id", "start"])
 
     return with_text(texts, spans).mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, start int")
 
 
-def cover(row: np.ndarray, begin: np.ndarray, many: np.ndarray, width: int, offsets: np.ndarray) -> np.ndarray:
-    """Which units the windows [begin, begin + many) of rows cover; offsets: of the rows."""
-    n = int(offsets[-1])
-    edge = np.zeros(n + 1, dtype=_I)
-    np.add.at(edge, begin + offsets[row], 1)
-    np.add.at(edge, np.minimum(begin + many + width - 1 + offsets[row], offsets[row + 1]), -1)
-    return np.cumsum(edge[:-1]) > 0
+def union(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans [begin, end) of rows as maximal runs, ordered: (row, begin, end)."""
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order], begin[order], end[order]
+    if not len(row):
+        return row, begin, end
+    # ranks of (row, end), so that one running maximum serves all rows
+    far = int(end.max()) + 1
+    reach = np.maximum.accumulate(row * far + end)
+    new = np.append(True, row[1:] * far + begin[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], begin[first], reach[last] - row[first] * far
+
+
+def covered(row: np.ndarray, begin: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which units the spans [begin, end) of rows cover; offsets: of the rows."""
+    row, begin, end = union(row, begin, end)
+    edge = np.zeros(int(offsets[-1]) + 1, dtype=np.int8)
+    edge[begin + offsets[row]] = 1
+    np.add.at(edge, np.minimum(end + offsets[row], offsets[row + 1]), -1)
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0

@@ -1,8 +1,9 @@
 """NumPy views of Arrow text batches, shared by the operators of this subpackage.
 
 A *slice* is a run of rows whose UTF-8 bytes lie in one buffer. Slices hold at most
-about ``max_bytes`` of text (a single longer document is a slice of its own), so the
-memory of a Python worker is bounded by the longest document, not by the batch.
+about ``max_bytes`` of text. A longer document is a slice of its own; what needs many
+times its bytes (hashes, suffixes) walks it in pieces, so that only a few byte masks and
+the words' offsets grow with the longest document.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import pyarrow.compute as pc
 #: White space of the contracts: space and \t \n \v \f \r. Fixed values.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+#: Text of a long document that is hashed at once.
+PIECE_BYTES = 512 << 10
 
 _U = np.uint64
 
@@ -116,6 +119,27 @@ class Slice:
         start, end = runs(full, self.off)
         return Words(start, end, np.searchsorted(start, self.off))
 
+    def span_codes(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hashes of ascending disjoint byte spans, some pieces of the text at a time."""
+        out = np.empty(len(start), dtype=_U)
+        lo = 0
+        while lo < len(start):
+            hi = max(lo + 1, int(np.searchsorted(end, start[lo] + PIECE_BYTES, side="right")))
+            a, b = int(start[lo]), int(end[hi - 1])
+            out[lo:hi] = Rolling.over(_BYTE_CODES[which][self.data[a:b]], which).spans(start[lo:hi] - a, end[lo:hi] - a)
+            lo = hi
+        return out
+
+    def pieces(self, width: int) -> Iterator[tuple[Slice, int]]:
+        """(piece, offset): the slice itself, or the parts of a long row that share ``width`` - 1
+        bytes with the next, so that every window of that width lies in exactly one."""
+        if self.n > 1 or len(self.data) <= 2 * PIECE_BYTES:
+            yield self, 0
+            return
+        for lo in range(0, max(1, len(self.data) - width + 1), PIECE_BYTES):
+            data = self.data[lo : lo + PIECE_BYTES + width - 1]
+            yield Slice(self.first, data, np.array([0, len(data)])), lo
+
 
 @dataclass
 class Words:
@@ -202,7 +226,3 @@ def code_points(data: np.ndarray) -> np.ndarray:
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
 
-
-def arrays(lists_off: np.ndarray, values: pa.Array) -> pa.Array:
-    """A list array from offsets."""
-    return pa.ListArray.from_arrays(pa.array(lists_off.astype(np.int32)), values)

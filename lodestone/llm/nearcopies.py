@@ -53,7 +53,7 @@ def shingle_sets(part: Slice, size: int) -> list[np.ndarray]:
     """Per row the ascending distinct shingle hashes; a short text is one shingle."""
     lower = Slice(part.first, _LOWER[part.data], part.off)
     words = lower.words()
-    codes = Rolling.over(lower.rolling().spans(words.start, words.end))
+    codes = Rolling.over(lower.span_codes(words.start, words.end))
     grams = codes.windows(size)
     out = []
     for a, b in zip(words.row[:-1].tolist(), words.row[1:].tolist(), strict=True):

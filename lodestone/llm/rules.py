@@ -51,11 +51,8 @@ class Stats:
     def _words(self):
         return self.part.words()
 
-    def _codes(self):
-        return self.part.rolling()
-
     def _word_hash(self):
-        return self.codes.spans(self.words.start, self.words.end)
+        return self.part.span_codes(self.words.start, self.words.end)
 
     def _n_words(self):
         return self.words.counts()
@@ -94,7 +91,7 @@ class Stats:
 
     def _n_dup_lines(self):
         start, end, row = self.lines
-        key = self.codes.spans(start, end) ^ mix64(row.astype(np.uint64) + np.uint64(1))
+        key = self.part.span_codes(start, end) ^ mix64(row.astype(np.uint64) + np.uint64(1))
         _, first = np.unique(key, return_index=True)
         again = np.ones(len(key), dtype=bool)
         again[first] = False

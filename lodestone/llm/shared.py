@@ -7,12 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where neither that setting nor a checkpoint folder exists (single-machine
-    tests) a temporary folder is set.
+    Only where neither that setting nor a checkpoint folder exists, and the master is this
+    machine (tests), a temporary folder is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         known = context._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
@@ -34,16 +38,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches handed to Python by bytes: texts differ in length by far."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: a replicated cut of the lineage.
 
     Unlike a local checkpoint, a lost executor does not lose it.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -24,9 +24,9 @@ MIN_WORDS = 50
 _I = np.int64
 
 
-def word_units(part: Slice) -> anchors.Units:
+def word_units(part: Slice, width: int = 0) -> Iterator[tuple[anchors.Units, int]]:
     words = part.words()
-    return anchors.Units((part.rolling(0).spans(words.start, words.end), part.rolling(1).spans(words.start, words.end)), words.row)
+    yield anchors.Units(lambda k: part.span_codes(words.start, words.end, k), words.row), 0
 
 
 def joined_words(part: Slice) -> list[bytes]:
@@ -81,7 +81,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for part in slices(batch):
                 mine = slice(*np.searchsorted(rows, [part.first, part.first + part.n]))
                 words = part.words()
-                out = anchors.cover(rows[mine] - part.first, begin[mine], many[mine], min_words, words.row)
+                out = anchors.covered(rows[mine] - part.first, begin[mine], begin[mine] + many[mine] + min_words - 1, words.row)
                 kept, removed = [], []
                 for r in range(part.n):
                     flags = out[words.row[r] : words.row[r + 1]]
@@ -149,14 +149,14 @@ def _doubled(texts: DataFrame, level: DataFrame, length: int) -> DataFrame:
             rows, structs = anchors.spans_of(batch.column(2))
             begin, many = (structs.field(i).to_numpy().astype(_I) for i in range(2))
             for part in slices(batch):
-                units = word_units(part)
+                ((units, _),) = word_units(part)
                 mine = slice(*np.searchsorted(rows, [part.first, part.first + part.n]))
-                marks = anchors.cover(rows[mine] - part.first, begin[mine], many[mine], 1, units.row)
-                owner, n = units.owner(), len(units.codes[0])
+                marks = anchors.covered(rows[mine] - part.first, begin[mine], begin[mine] + many[mine], units.row)
+                owner, n = units.owner(), int(units.row[-1])
                 at = np.flatnonzero(np.arange(n) + 2 * length <= units.row[1:][owner])
                 both = marks[at] & marks[at + length]
                 ids = batch.column(0).slice(part.first, part.n).to_numpy()
-                hashes = [anchors.Rolling.over(units.codes[k], k).spans(at, at + 2 * length).view(_I) for k in (0, 1)]
+                hashes = [anchors.Rolling.over(units.code(k), k).spans(at, at + 2 * length).view(_I) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes, ids[owner[at]], (at - units.row[owner[at]]).astype(np.int32), both)], ["h1", "h2", "doc_id", "start", "survives"])
 
     return joined.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, start int, survives boolean")

@@ -43,9 +43,11 @@ def random_rows(seed, n=60):
 
 
 @pytest.mark.parametrize(("width", "part"), [(200, 64), (60, 20), (24, 24)])
-@pytest.mark.parametrize("most", [1000, 1])
-def test_matches_brute_force(spark, monkeypatch, width, part, most):
-    monkeypatch.setattr(runindex, "MOST_SEGMENTS", most)
+@pytest.mark.parametrize(("each", "most"), [(1000, 8), (1, 1), (2, 3)])
+def test_matches_brute_force(spark, monkeypatch, width, part, each, most):
+    """With one index a group, with refined groups, and with groups split over indexes."""
+    monkeypatch.setattr(runindex, "PER_INDEX", each)
+    monkeypatch.setattr(runindex, "MOST_INDEXES", most)
     rows = random_rows(width)
     got = runindex.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), width, part).collect()
     want = brute(rows, width)
@@ -72,6 +74,52 @@ def test_statistics_match_brute_force():
             assert got == best
 
 
+def test_streamed_statistics_match_brute_force():
+    rnd = random.Random(5)
+    draw = lambda: bytes(rnd.choice(b"ab\0c") for _ in range(rnd.randint(0, 30)))
+    pack = lambda xs: (np.frombuffer(b"".join(xs), dtype=np.uint8), np.append(0, np.cumsum([len(x) for x in xs])))
+    for _ in range(60):
+        texts, others = [draw() + b"a" for _ in range(rnd.randint(1, 6))], [draw() for _ in range(4)]
+        others += [texts[0], texts[0][1:] + b"d", b""]
+        got = runindex.RunIndex(*pack(texts)).stream(*pack(others))
+        want = [max(n for n in range(len(o) - i + 1) if any(o[i : i + n] in t for t in texts)) for o in others for i in range(len(o))]
+        assert got.tolist() == want
+
+
+def test_a_long_text_is_walked_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr("lodestone.llm.blocks.PIECE_BYTES", 700)
+    rnd = random.Random(6)
+    noise = lambda n: "".join(rnd.choice("abcdé") for _ in range(n))
+    shared = noise(900)
+    with_copies = noise(1000) + shared + noise(2000) + shared[100:650] + noise(500) + "q" * 1700
+    rows = [(1, with_copies), (2, noise(800) + shared[50:] + noise(10)), (3, noise(3000))]
+    batch = runindex.pa.RecordBatch.from_arrays([runindex.pa.array([t for _, t in rows])], ["text"])
+    assert max(len(list(p.pieces(200))) for p in runindex.slices(batch, max_bytes=100)) > 5
+    got = collected_in_process(rows, 200)
+    want = [(b, m) for b, m in ((len(t.encode()), w[1]) for (_, t), w in zip(rows, brute(rows, 200), strict=True))]
+    assert got == want
+
+
+def collected_in_process(rows, width):
+    """(n_bytes, n_removed) from segments alone: every window compared by its fingerprint."""
+    batch = runindex.pa.RecordBatch.from_arrays([runindex.pa.array([t for _, t in rows])], ["text"])
+    where = {}
+    for part in runindex.slices(batch, max_bytes=100):
+        raw = part.raw(0)
+        for units, offset in runindex.byte_units(part, width):
+            seg, _ = runindex.anchors.segments(units, width, 64)
+            for anchor, start, many in zip(seg.anchor.tolist(), seg.start.tolist(), seg.many.tolist(), strict=True):
+                for i in range(start + offset, start + offset + many):
+                    where.setdefault((anchor, raw[i : i + width]), []).append((part.first, i))
+    gone = [np.zeros(len(t.encode()), dtype=bool) for _, t in rows]
+    assert sum(len(x) for x in where.values()) == sum(max(0, len(g) - width + 1) for g in gone)
+    for places in where.values():
+        if len(places) > 1:
+            for r, i in places:
+                gone[r][i : i + width] = True
+    return [(len(g), int(g.sum())) for g in gone]
+
+
 def test_runs_are_few_in_repetitive_text():
     text = bytes(random.Random(1).choice(b"abcdefgh") for _ in range(400))
     one = runindex.RunIndex(np.frombuffer(text, dtype=np.uint8), np.array([0, 400]))
