@@ -12,10 +12,11 @@ confirmed on full sets. A second round compares, leaf by leaf and on full sets,
 confirmed links have not yet joined, and returns spanning forests of the links it finds;
 so a star that was refuted costs no link.
 
-A node that stays large at full depth (a huge group of near copies) is dealt into blocks
-that all hold the node's hubs; what finds no likely partner there is screened on sketches
-against every block, and what does not join the node's main component is then compared
-with every block on full sets.
+A node that stays large at full depth (a huge group of near copies, pages of one template)
+is dealt into blocks that all hold the node's hubs; what finds no likely partner there is
+screened on sketches against all members, and what does not join the node's main component
+is then compared on full sets, in cells of many megabytes, so that a text is copied once
+for each such cell of its node and not once for each block.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ LEAF = 128
 HUBS = 4
 #: Documents on either side of a cell in which a blocked node is screened on sketches.
 SCREEN = 1024
+#: Bytes of text, and documents, on either side of a cell in which full sets are compared.
+CELL_BYTES, CELL_DOCS = 16 << 20, 2048
 #: Standard errors by which a sketch's estimate may fall short of the threshold.
 MARGIN = 3.7
 
@@ -120,9 +123,9 @@ def _leaves(reps: DataFrame) -> DataFrame:
     open_, found = _paths(reps), None
     for d in range(DEPTH):
         named = open_.withColumn("node", F.col("path")[d])
-        sizes = named.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        # only the first level is large; from there on a table cuts the lineage
-        joined = written(named.join(sizes, "node"), "nodes")
+        # a table, so that both sides of the join are dealt out for it and a hot node can be split
+        sizes = written(named.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        joined = written(named.join(sizes.hint("merge"), "node"), "nodes")
         done = joined.where(F.col("size") <= LEAF) if d + 1 < DEPTH else joined
         leaf = done.select("node", "doc_id", F.ceil(F.col("size") / LEAF).cast("int").alias("blocks"))
         found = leaf if found is None else found.unionByName(leaf)
@@ -137,7 +140,7 @@ def _members(leaves: DataFrame, sketched: DataFrame) -> DataFrame:
     its own.
     """
     hubs = leaves.where("blocks > 1").groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("doc_id", "node"), F.col("blocks")) == 0, F.col("doc_id")))), 1, HUBS).alias("hubs"))
-    rows = leaves.join(hubs, "node", "left").join(sketched, "doc_id")
+    rows = leaves.join(written(hubs, "hubs").hint("merge"), "node", "left").join(sketched, "doc_id")
     everywhere = F.coalesce(F.array_contains("hubs", F.col("doc_id")), F.lit(False))
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     block = F.explode(F.when(everywhere & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own))
@@ -248,7 +251,7 @@ def _screened(leaves: DataFrame, first: DataFrame, sketched: DataFrame, least: f
     lone = big.join(named_in(first), "doc_id", "left_anti")
     parts = lone.groupBy("node").agg(F.ceil(F.count("*") / SCREEN).cast("int").alias("parts"))
     sizes = big.groupBy("node").agg(F.ceil(F.count("*") / SCREEN).cast("int").alias("places"))
-    grid = parts.join(sizes, "node")
+    grid = written(parts.join(sizes, "node"), "grid").hint("merge")
     # other bits than those that deal rows to tasks
     hashed = F.xxhash64("doc_id", F.lit(1))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -330,7 +333,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
-def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets, by blocked products of 0/1 matrices."""
     sizes = [len(s) for s in (*a, *b)]
     values, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
@@ -356,21 +359,29 @@ def _remaining(leaves: DataFrame, reps: DataFrame, joined: DataFrame, texts: Dat
 
     In leaves, the documents with a likely partner in another component are compared with
     each other. In blocked nodes, those outside the node's main component are compared with
-    all members, in a grid of blocks. A cell returns a spanning forest of its links.
+    each other and with the main component, in cells (kind, i, j) of bounded parts. A cell
+    returns a spanning forest of its links.
     """
     placed = leaves.join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     members = placed.where("blocks = 1").select("node", F.lit(0).alias("block"), "doc_id", "component").join(reps, "doc_id").select("node", "block", "doc_id", "component", "sketch")
-    small = _open(members, least).select("node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "doc_id")
-    big = placed.where("blocks > 1")
-    home = big.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("home"))
-    rest = big.join(home, "node").where("component <> home").select("node", "doc_id", "blocks")
-    parts = rest.groupBy("node").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("parts"))
-    hashed = F.xxhash64("doc_id")
+    zero = F.lit(0)
+    small = _open(members, least).select("node", zero.alias("kind"), zero.alias("i"), zero.alias("j"), F.lit(2).alias("side"), "doc_id")
+    big = written(placed.where("blocks > 1").join(texts.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id").select("node", "doc_id", "component", "bytes"), "blocked")
+    main = big.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    outside = F.col("component") != F.col("main")
+    split = big.join(written(main, "main").hint("merge"), "node").select("node", "doc_id", "bytes", outside.alias("outside"))
+    parts = lambda test: F.greatest(F.ceil(F.sum(F.when(test, F.col("bytes")).otherwise(0)) / CELL_BYTES), F.ceil(F.sum(test.cast("int")) / CELL_DOCS)).cast("int")
+    grid = split.groupBy("node").agg(parts(F.col("outside")).alias("p"), F.greatest(parts(~F.col("outside")), F.lit(1)).alias("m")).where("p > 0")
+    dealt = split.join(written(grid, "grid").hint("merge"), "node").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.when(F.col("outside"), F.col("p")).otherwise(F.col("m"))).cast("int"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rest.join(parts, "node").select("node", F.pmod(hashed, F.col("parts")).cast("int").alias("i"), upto("blocks").alias("j"), F.lit(0).alias("side"), "doc_id")
-    right = big.join(parts, "node").select("node", upto("parts").alias("i"), F.pmod(hashed, F.col("blocks")).cast("int").alias("j"), F.lit(1).alias("side"), "doc_id")
-    cells = small.unionByName(left).unionByName(right).join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(texts.select("doc_id", "text"), "doc_id")
-    dealt = cells.select("node", "i", "j", "side", "doc_id", "component", "text").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "side")
+    own, q = F.col("own"), F.col("q")
+    rest = dealt.where("outside")
+    among = rest.select("node", "doc_id", "own", upto("p").alias("q")).select("node", F.lit(1).alias("kind"), F.least("own", "q").alias("i"), F.greatest("own", "q").alias("j"), F.when(own == q, 2).when(own < q, 0).otherwise(1).alias("side"), "doc_id")
+    left = rest.select("node", F.lit(2).alias("kind"), own.alias("i"), upto("m").alias("j"), zero.alias("side"), "doc_id")
+    right = dealt.where("not outside").select("node", F.lit(2).alias("kind"), upto("p").alias("i"), own.alias("j"), F.lit(1).alias("side"), "doc_id")
+    cells = small.unionByName(among).unionByName(left).unionByName(right).join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(texts.select("doc_id", "text"), "doc_id")
+    key = ["node", "kind", "i", "j"]
+    dealt = cells.select(*key, "side", "doc_id", "component", "text").repartition(*key).sortWithinPartitions(*key, "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, sides = None, ([], [])
@@ -386,13 +397,13 @@ def _remaining(leaves: DataFrame, reps: DataFrame, joined: DataFrame, texts: Dat
             return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True))
             for part in slices(batch):
                 for r, own in enumerate(shingle_sets(part, size), start=part.first):
-                    node, i, j, side, doc, component = keys[r]
-                    if (node, i, j) != name:
+                    *cell, side, doc, component = keys[r]
+                    if cell != name:
                         yield links()
-                        name, sides = (node, i, j), ([], [])
+                        name, sides = cell, ([], [])
                     for k in (0, 1) if side == 2 else (side,):
                         sides[k].append((doc, component, own))
         yield links()

@@ -340,13 +340,13 @@ def repeated_windows(docs: DataFrame, min_bytes: int = MIN_BYTES, anchor_bytes:
     """The scan, and (doc_id, start, many): the windows of ``min_bytes`` found elsewhere too."""
     scan = anchors.scan(docs, byte_units, lambda part: [part.raw(r) for r in range(part.n)], min_bytes, min(anchor_bytes, min_bytes), across=False)
     several = scan.classes.where("n > 1").select("anchor", "h1", "h2")
-    settled = scan.found.join(several, ["anchor", "h1", "h2"]).select("doc_id", "start", "many")
-    found = settled
+    # a table of its own, so that the rows of a segment that very many documents hold can be split
+    found = written(scan.found.join(several.hint("merge"), ["anchor", "h1", "h2"]).select("doc_id", "start", "many"), "settled")
     pieces = written(_cut(anchors.contested(scan.classes), scan.texts, min_bytes), "pieces")
     length = min(anchor_bytes, min_bytes)
     while True:
         small = F.col("m") <= PER_INDEX * MOST_INDEXES
-        found = found.unionByName(_indexed(pieces.where(small), min_bytes))
+        found = found.unionByName(written(_indexed(pieces.where(small), min_bytes), "indexed"))
         large = pieces.where(~small)
         # at full length the pieces of a group are equal, so none is left
         if large.isEmpty():

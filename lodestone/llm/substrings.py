@@ -38,13 +38,29 @@ def _survivors(docs: DataFrame, min_words: int) -> tuple[anchors.Scan, DataFrame
     half = (min_words + 1) // 2
     scan = anchors.scan(docs, word_units, joined_words, min_words, half, across=True)
     classes = scan.classes.select("anchor", "h1", "h2", F.col("rep.doc_id").alias("first"))
-    settled = scan.found.join(classes, ["anchor", "h1", "h2"]).where("doc_id > first").select("doc_id", "start", "many")
+    # tables of their own, so that the rows of a segment that very many documents hold can be split
+    settled = written(scan.found.join(classes.hint("merge"), ["anchor", "h1", "h2"]).where("doc_id > first").select("doc_id", "start", "many"), "settled")
     # the first holder of each contested segment: its windows against all others of the anchor
     windows = written(anchors.window_hashes(scan.texts, anchors.contested(scan.classes), word_units, min_words), "windows")
-    earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    single = written(windows.join(earliest, ["h1", "h2"]).where("doc_id > first").select("doc_id", "start"), "single")
-    repeated = single.unionByName(_again(scan, single)).withColumn("many", F.lit(1))
-    return scan, settled.unionByName(repeated)
+    earliest = written(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first"), "earliest")
+    single = written(windows.join(earliest.hint("merge"), ["h1", "h2"]).where("doc_id > first").select("doc_id", "start"), "single")
+    return scan, settled.unionByName(_as_runs(single.unionByName(_again(scan, single))))
+
+
+def _as_runs(single: DataFrame) -> DataFrame:
+    """(doc_id, start, many) of single windows (doc_id, start), merged within blocks of 63 starts.
+
+    Each block is a bit mask, summed up by an aggregate of fixed width before anything is
+    gathered by document.
+    """
+    block = F.floor(F.col("start") / 63)
+    masks = single.groupBy("doc_id", block.alias("block")).agg(F.expr("bit_or(shiftleft(1L, int(pmod(start, 63))))").alias("mask"))
+    # the runs of ones: where one begins, and how far it goes
+    text = F.reverse(F.lpad(F.bin("mask"), 63, "0"))
+    begins = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: (F.substring(text, i + 1, F.lit(1)) == "1") & ((i == 0) | (F.substring(text, i, F.lit(1)) == "0")))
+    runs = masks.select("doc_id", "block", text.alias("text"), F.explode(begins).alias("i"))
+    many = F.length(F.regexp_extract(F.expr("substring(text, i + 1)"), "^1+", 0))
+    return runs.select("doc_id", (F.col("block") * 63 + F.col("i")).cast("int").alias("start"), many.cast("int").alias("many"))
 
 
 def _again(scan: anchors.Scan, single: DataFrame) -> DataFrame:

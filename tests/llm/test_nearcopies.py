@@ -76,6 +76,7 @@ def test_near_copies_in_different_blocks(spark, monkeypatch):
     # one blocked node and no small leaf of another tree that could make up for it
     monkeypatch.setattr(nearcopies, "_leaves", lambda reps: reps.selectExpr("1L AS node", "doc_id", "20 AS blocks"))
     monkeypatch.setattr(nearcopies, "SCREEN", 16)
+    monkeypatch.setattr(nearcopies, "CELL_DOCS", 16)
     rnd = random.Random(4)
     fixed = [f"t{i}" for i in range(130)]
     rows = []
@@ -89,6 +90,30 @@ def test_near_copies_in_different_blocks(spark, monkeypatch):
     assert {r.doc_id: tuple(r[1:]) for r in got} == brute(rows, 3, 85)
 
 
+def test_recall_on_pages_of_one_template(spark, monkeypatch):
+    # unlinked pages at a similarity of about 0.75, pairs at the threshold among them, a chain and a large group
+    monkeypatch.setattr(nearcopies, "LEAF", 32)
+    monkeypatch.setattr(nearcopies, "CELL_DOCS", 100)
+    rnd = random.Random(12)
+    fixed = [f"t{i}" for i in range(172)]
+    page = lambda d: fixed + [f"d{d}x{i}" for i in range(28)]
+    rows = [(d, page(d)) for d in range(600)]
+    for d in range(0, 300, 3):
+        own = page(d)
+        for i in rnd.sample(range(172, 200), 2):
+            own[i] = f"e{d}y{i}"
+        rows.append((1000 + d, own))
+    for k in range(30):  # each like its neighbours only
+        rows.append((2000 + k, [f"c{i}" for i in range(4 * k, 4 * k + 150)]))
+    rows += [(3000 + k, fixed[:100] + [f"g{k}" if i == k % 100 else f"h{i}" for i in range(100)]) for k in range(200)]
+    rows = [(d, " ".join(x)) for d, x in rows]
+    rnd.shuffle(rows)
+    got = {r.doc_id: tuple(r[1:]) for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 0.85).collect()}
+    want = brute(rows, 3, 85)
+    joined = [d for d in want if not want[d][2]]
+    assert len(joined) > 300 and sum(got[d] == want[d] for d in joined) >= 0.99 * len(joined)
+
+
 @pytest.mark.parametrize("chains", [1, 3])
 def test_stars_cover_documents_whose_partners_are_covered(chains):
     # 57 mutual copies, c like 32 of them, d like c only
