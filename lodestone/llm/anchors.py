@@ -146,8 +146,8 @@ def scan(docs: DataFrame, units_of: UnitsOf, whole_of: Callable[[Slice], list[by
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), pa.array(n), pa.array(digests, pa.binary()), per_row(anchor, row, piece.n)], ["doc_id", "n", "digest", "anchors"])
 
     passed = written(source.mapInArrow(first_pass, "doc_id bigint, n bigint, digest binary, anchors array<bigint>"), "anchors")
-    equal = passed.where(F.col("n") >= width).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    plain = passed.join(equal, "digest", "left")
+    equal = written(passed.where(F.col("n") >= width).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "equal")
+    plain = passed.join(equal.hint("merge"), "digest", "left")
     whole = plain.select("doc_id", "n", "digest", F.coalesce("first", "doc_id").alias("first"), F.coalesce("copies", F.lit(1)).alias("copies"))
     anchors = plain.where("first is null or first = doc_id").select("doc_id", F.explode("anchors").alias("anchor"))
     if across:

@@ -118,20 +118,29 @@ def _uses(plan: DataFrame, *carry: str) -> DataFrame:
 
 
 def mix_positions(plan: DataFrame) -> DataFrame:
-    """One row for each use of a document: (doc_id, epoch, position), range-sorted."""
+    """One row for each use of a document: (doc_id, epoch, position), range-sorted.
+
+    plan: of ``plan_mix``; documents that it does not take have no row; equal rows have each
+    their own; a null doc_id stays null; an empty plan gives no rows.
+    """
     return _uses(plan).orderBy("position", "doc_id", "epoch")
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: rows of docs with all their columns, one for each use, range-sorted by
-    training position.
+    training position, then doc_id and epoch.
 
-    Rows with a null doc_id are mixed like any other.
+    Null and empty texts are never taken; rows with a null doc_id or source are mixed like any
+    other; equal rows are mixed each by itself; other columns pass through under any names; no
+    rows give no rows.
     """
-    # rows are numbered in a table, so that the plan and the join see the same numbers
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    uses = _uses(plan_mix(rows, weights, max_epochs, ("_row",)), "_row").select("_row", F.col("position").alias("_position"), F.col("epoch").alias("_epoch"))
-    return rows.join(uses, "_row").orderBy("_position", "doc_id", "_epoch", "_row").select(*docs.columns)
+    # rows are numbered in a table, so that the plan and the join see the same numbers; all of
+    # a row is one struct, so that no name of its columns meets one of the plan's
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number"))
+    rows = written(packed, "rows")
+    plain = rows.select("row.doc_id", "row.source", "row.text", "number")
+    uses = _uses(plan_mix(plain, weights, max_epochs, ("number",)), "number").select("number", "position", "epoch")
+    return rows.join(uses, "number").orderBy("position", "row.doc_id", "epoch", "number").select("row.*")
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -426,7 +426,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     least = similarity - MARGIN * float(np.sqrt(similarity * (1 - similarity) / (TREES * DEPTH)))
     signed = written(_signed(docs, shingle), "signed")
     usable = signed.where("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # one row an exact class, under its smallest doc_id
     reps = written(usable.join(classes, "digest").where("doc_id = rep").groupBy("doc_id").agg(F.first("sketch").alias("sketch")), "reps")
     leaves = _leaves(reps)
@@ -443,15 +443,21 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     if not more.isEmpty():
         joined = written(components(links.unionByName(more)).select(F.col("id").alias("doc_id"), "component"), "components")
     grouped = classes.join(joined, F.col("rep") == F.col("doc_id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    placed = signed.join(grouped, "digest", "left")
+    placed = signed.join(written(grouped, "grouped").hint("merge"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, that are their component's smallest doc_id (or have none)."""
+    """The rows of docs, all columns, that are their component's smallest doc_id (or have none).
+
+    Null and empty texts and null ids are kept; of equal texts under several ids the smallest
+    id stays, with all its rows; other columns pass through under any names; no rows give no
+    rows.
+    """
     gone = near_copies(docs, shingle, similarity).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    kept = docs.alias("docs").join(gone.alias("gone"), F.col("docs.doc_id") == F.col("gone.doc_id"), "left_anti")
+    return kept.select("docs.*")
 
 
 def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,15 @@
 """Operator 8: quality rules as a short-circuit cascade.
 
-Every rule reads a few per-document statistics. On a bounded sample the cascade measures
-what each rule costs (seconds a byte, with the statistics it would be the first to need)
-and how many documents it rejects, then runs the rules by rejections per cost: cheap,
-selective rules first, and documents that one of them rejects are spared the rest.
-The order changes the cost only; a document is kept exactly if no rule rejects it.
+Every rule reads a few per-document statistics. On a bounded sample the cascade estimates
+what each rule costs (bytes that the statistics it would be the first to need read and
+write) and how many documents it rejects of those that the rules before it pass. It runs the
+rules by rejections per cost: cheap, selective rules first, and documents that one of them
+rejects are spared the rest. The order changes the cost only; a document is kept exactly if
+no rule rejects it.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,23 +24,29 @@ from lodestone.llm.shared import documents
 SYMBOLS = byte_mask(b"#*$%&|<>")
 _UPPER, _LETTER = byte_mask(range(0x41, 0x5B)), byte_mask([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 WINDOW = 5
-#: Documents of the sample on which costs and selectivities are estimated.
-SAMPLE_DOCS = 512
+#: Documents of the sample on which costs and selectivities are estimated, by the least hash of
+#: their ids, and the longest text in it: 8 MB at most. It decides the order of rules only.
+SAMPLE_DOCS, SAMPLE_BYTES = 256, 32 << 10
+#: What a statistic costs beyond those it is made of: passes over bytes, and over words.
+PASSES = {"words": (6, 3), "word_chars": (4, 0), "n_symbols": (3, 0), "n_upper": (3, 0), "n_letters": (4, 0), "lines": (8, 0), "n_dup_lines": (6, 0), "word_hash": (6, 2), "n_repeat_words": (0, 16)}
 
 
 class Stats:
     """Statistics of the rows of a slice, each computed when first asked for.
 
-    ``rows`` narrows to the rows still undecided; statistics are over those only.
+    ``take`` narrows to the rows still undecided; statistics are over those only. ``spent``
+    counts the bytes that the statistics so far have cost.
     """
 
     def __init__(self, part: Slice):
-        self.part, self._have = part, {}
+        self.part, self._have, self.spent = part, {}, 0
 
     def __getattr__(self, name: str):
         have = self.__dict__["_have"]
         if name not in have:
             have[name] = getattr(self, f"_{name}")()
+            by_byte, by_word = PASSES.get(name, (0, 0))
+            self.spent += by_byte * len(self.part.data) + (by_word * 8 * len(self.words.start) if by_word else 0)
         return have[name]
 
     def _per_row(self, flags: np.ndarray) -> np.ndarray:
@@ -152,68 +158,58 @@ RULES = (
 )
 
 
-def order_rules(texts: list[str | None], rules=RULES, repeats: int = 3) -> list[int]:
-    """Indices of rules by rejections per second on a sample, the best first.
+def order_rules(texts: list[str | None], rules=RULES) -> list[int]:
+    """Indices of rules in the order in which they are to run, from a sample of texts.
 
-    The cost of a rule includes every statistic that it needs; ties keep the given order.
+    The next rule is the one with the most rejections a byte of cost, both counted over what
+    the rules before it left, and after the statistics that they have needed. Ties keep the
+    given order; so does an empty sample.
     """
-    texts = [t if t is not None else "" for t in texts]
-    if not texts:
-        return list(range(len(rules)))
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    parts = list(slices(batch))
-    score = []
-    for i, rule in enumerate(rules):
-        spent = []
-        for _ in range(repeats):
-            began = time.perf_counter()
-            rejected = sum(int(np.count_nonzero(rule.rejects(Stats(p)))) for p in parts)
-            spent.append(time.perf_counter() - began)
-        score.append((-(rejected / len(texts)) / max(min(spent), 1e-9), i))
-    return [i for _, i in sorted(score)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t if t is not None else "" for t in texts], pa.string())], ["text"])
+    alive, left, order = [Stats(p) for p in slices(batch)], list(range(len(rules))), []
+    while left:
+
+        def tried(i: int) -> tuple[float, int]:
+            rejected = cost = 0
+            for stats in alive:
+                trial = stats.take(np.arange(stats.part.n))
+                rejected += int(np.count_nonzero(rules[i].rejects(trial)))
+                cost += trial.spent
+            return -rejected / (cost + 1), i
+
+        best = min(map(tried, left))[1]
+        order.append(best)
+        left.remove(best)
+        alive = [stats.take(np.flatnonzero(~rules[best].rejects(stats))) for stats in alive]
+    return order
 
 
 def cascade(stats: Stats, rules) -> np.ndarray:
     """Which rows pass all rules; rows that one rejects are not shown to the next."""
-    alive, view = np.arange(stats.part.n), stats
+    alive, kept = np.arange(stats.part.n), np.zeros(stats.part.n, dtype=bool)
     for rule in rules:
-        passed = ~rule.rejects(view)
+        if not len(alive):
+            break
+        passed = ~rule.rejects(stats)
         if not passed.all():
-            alive = alive[passed]
-            if not len(alive):
-                break
-            # narrowing copies bytes: worth it only where many rows went
-            view = view.take(np.flatnonzero(passed)) if passed.mean() < 0.7 else _Masked(view, passed)
-    kept = np.zeros(stats.part.n, dtype=bool)
+            alive, stats = alive[passed], stats.take(np.flatnonzero(passed))
     kept[alive] = True
     return kept
 
 
-class _Masked(Stats):
-    """A view of some rows on statistics that are computed over all of them."""
-
-    def __init__(self, under: Stats, rows: np.ndarray):
-        self.__dict__.update(under=under, rows=np.flatnonzero(rows), _have={})
-
-    @property
-    def part(self):
-        return self.under.part
-
-    def __getattr__(self, name: str):
-        return getattr(self.under, name)[self.rows]
-
-    def take(self, rows: np.ndarray) -> Stats:
-        return self.under.take(self.rows[rows])
-
-
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def sample_texts(docs: DataFrame, n: int = SAMPLE_DOCS, chars: int = 20_000) -> list[str | None]:
-    """A bounded sample for the estimates only; rules are then run on whole texts."""
-    rows = docs.select(F.substring(F.col("text").cast("string"), 1, chars).alias("text")).limit(n).collect()
-    return [r[0] for r in rows]
+def sample_texts(docs: DataFrame, n: int = SAMPLE_DOCS, most: int = SAMPLE_BYTES) -> list[str | None]:
+    """Whole texts of up to ``most`` bytes of the n ids of the least hash: for the estimates only.
+
+    The first job reads ids alone; the second reads where they are, as far as the table's
+    statistics by row group tell.
+    """
+    ids = [r[0] for r in docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("i")).orderBy(F.xxhash64("i"), "i").limit(n).collect()]
+    rows = docs.where(F.col("doc_id").isin(ids)).select("doc_id", F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most)
+    return [r.text for r in rows.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()]
 
 
 def apply_rules(docs: DataFrame, rules=RULES, with_counts: bool = True) -> DataFrame:
@@ -221,8 +217,9 @@ def apply_rules(docs: DataFrame, rules=RULES, with_counts: bool = True) -> DataF
 
     A null text has no words and fails ``few_words``; so does an empty one. Repeated rows
     are judged each; a null doc_id stays null; other columns are ignored; an empty table
-    gives no rows. With ``with_counts`` all counts are computed for the result; without,
-    only (doc_id, kept) is returned and the cascade alone decides what is computed.
+    gives no rows. The verdict comes from the cascade alone. With ``with_counts`` the counts
+    of every row, rejected or not, are computed apart for the result; without, only
+    (doc_id, kept) is returned and rejected rows cost nothing further.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = [rules[i] for i in order_rules(sample_texts(docs), rules)]
@@ -230,13 +227,12 @@ def apply_rules(docs: DataFrame, rules=RULES, with_counts: bool = True) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                stats = Stats(part)
                 ids = batch.column(0).slice(part.first, part.n)
-                kept = pa.array(cascade(stats, ordered))
+                kept = pa.array(cascade(Stats(part), ordered))
                 if not with_counts:
                     yield pa.RecordBatch.from_arrays([ids, kept], ["doc_id", "kept"])
                     continue
-                base = np.zeros(part.n, dtype=bool)
+                stats, base = Stats(part), np.zeros(part.n, dtype=bool)
                 for rule in BASE:
                     base |= rule.rejects(stats)
                 counts = [pa.array(getattr(stats, c).astype(np.int64)) for c in _COUNTS]

@@ -118,10 +118,18 @@ def scan_slice(part: Slice, encoding, min_run: int, max_ratio: float) -> list[li
     for s, e in zip(*_long_runs(_HEX, data, off, HEX_MIN), strict=True):
         r = row_of(s)
         found[r].append((int(points[s] - points[off[r]]), int(points[e] - points[off[r]]), 2))
+    for spans in found:
+        spans.sort(key=lambda x: (x[0], x[2]))
+    # runs come by row and start, as the base spans do: both lists are walked once
+    row, place, reach, base = -1, 0, 0, []
     for s, e in zip(*_long_runs(_RUN, data, off, min_run), strict=True):
-        r = row_of(s)
+        if (r := row_of(s)) != row:
+            row, place, reach, base = r, 0, 0, list(found[r])
         a, b = int(points[s] - points[off[r]]), int(points[e] - points[off[r]])
-        if any(x < b and a < y for x, y, kind in found[r] if kind < 3):
+        while place < len(base) and base[place][0] < b:
+            reach, place = max(reach, base[place][1]), place + 1
+        # of the base spans that start before this run ends, one ends after its start
+        if reach > a:
             continue
         if is_random(whole[s:e].decode("ascii"), encoding, max_ratio):
             found[r].append((a, b, 3))
@@ -168,8 +176,9 @@ def scan_secrets(docs: DataFrame, vocabulary: str | None = None, min_run: int =
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", vocabulary: str | None = None, min_run: int = MIN_RUN, max_ratio: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
     """docs with every found span replaced by ``mark``; overlapping spans become one mark.
 
-    All columns stay, ``n_chars`` (where there is one) follows the new text. Null texts
-    stay null. Every row is kept.
+    All columns stay, whatever their names; ``n_chars`` (where there is one) follows the new
+    text. Null texts stay null, empty ones empty; repeated rows are each redacted alike; a null
+    doc_id changes nothing; every row is kept, and no rows give no rows.
     """
     path = vocabulary or vocabulary_path()
     names, schema = docs.columns, docs.schema

@@ -5,7 +5,13 @@ pivots cut the vectors into cells, each vector at home with its nearest pivot. B
 triangle inequality a vector x at home with pivot i can have a partner at home with pivot j
 only if d(x, j) <= d(x, i) + 2r, or, sharper, if x is within r of the plane between i and
 j; it is replicated to exactly those cells. Then every cell has all partners of its home
-vectors and joins by itself, in blocks of bounded size, by exact products.
+vectors and joins by itself. Within a cell, vectors are ordered into bands of width r by
+their distance to the pivot, and a band is compared with itself and its two neighbours only;
+by the same inequality no partner lies further off. Bands of any size are compared in blocks
+of bounded size, by exact products.
+
+Pivots of a large label are some of its vectors; small labels share a few directions drawn
+from a seed, which serve as well (any point is a right pivot) and need no broadcast.
 
 Equal vectors are collapsed first. Blocks return counts and spanning trees, never pairs.
 """
@@ -15,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +32,14 @@ from lodestone.llm.components import components, spanning_tree
 from lodestone.llm.shared import written
 
 COSINE = 0.93
-#: Vectors of one label in a cell, as far as the pivots go.
+#: Vectors of one label in a cell, as far as the pivots go; smaller labels have SHARED pivots.
 CELL = 2048
-#: Pivots over all labels, and so the size of what is broadcast, are at most twice this.
-MOST_PIVOTS = 1024
+SHARED = 4
+#: Pivots over all labels, and so the size of what is broadcast, are at most twice this. Cells
+#: of a table that would need more are larger: then bands and blocks divide the work further.
+MOST_PIVOTS = 4096
 #: Vectors on either side of a block.
-BLOCK = 1024
+BLOCK = 2048
 _I = np.int64
 
 
@@ -39,19 +48,28 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kinds, vecs = [], [], []
-            for vec_id, label, x in zip(*(batch.column(i) for i in range(3)), strict=True):
-                if not x.is_valid or not len(x.values) or x.values.null_count:
-                    continue
-                v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                norm = float(v @ v)
-                if np.isfinite(v).all() and norm > 0:
-                    if not 1e-200 < norm < 1e200:  # squares of extreme components leave the range of doubles
-                        v = v / np.abs(v).max()
-                    ids.append(vec_id.as_py())
-                    kinds.append(f"{label.as_py()}:{len(v)}")
-                    vecs.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(vecs, pa.binary())], ["vec_id", "kind", "vec"])
+            col = batch.column(2)
+            # null lists have no components; null components become NaN
+            size = np.diff(col.offsets.to_numpy())
+            size = np.where(col.is_valid().to_numpy(zero_copy_only=False), size, 0)
+            v = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            row = np.flatnonzero(size)
+            at = np.append(0, np.cumsum(size[row]))
+            if len(row):
+                with np.errstate(all="ignore"):
+                    finite = np.logical_and.reduceat(np.isfinite(v), at[:-1])
+                    largest = np.maximum.reduceat(np.abs(v), at[:-1])
+                    norm = np.add.reduceat(v * v, at[:-1])
+                    # squares of extreme components leave the range of doubles
+                    extreme = ~((norm > 1e-200) & (norm < 1e200))
+                    v = v / np.repeat(np.where(extreme, largest, 1.0), size[row])
+                good = finite & (largest > 0)
+                v, row = v[np.repeat(good, size[row])], row[good]
+            length = size[row].astype(np.int32)
+            names = [f"{label}:{n}" for label, n in zip(batch.column(1).take(pa.array(row)).to_pylist(), length.tolist(), strict=True)]
+            off = np.append(0, np.cumsum(length * 8)).astype(np.int32)
+            vecs = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(v))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(names, pa.string()), vecs], ["vec_id", "kind", "vec"])
 
     source = vectors.where("label is not null and vec_id is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     return source.mapInArrow(run, "vec_id bigint, kind string, vec binary").dropDuplicates(["vec_id"])
@@ -63,7 +81,7 @@ def unit(raw: list[bytes]) -> np.ndarray:
 
 
 def choose_pivots(reps: DataFrame) -> dict[str, np.ndarray]:
-    """Pivots of the kinds that need more than one cell, from a bounded sample by hash."""
+    """Own pivots of the large kinds, from a bounded sample by hash."""
     total = reps.count()
     size = max(CELL, -(-total // MOST_PIVOTS))
     # at most MOST_PIVOTS kinds can have more than size rows
@@ -77,8 +95,20 @@ def choose_pivots(reps: DataFrame) -> dict[str, np.ndarray]:
     return {kind: unit(found[: -(-large[kind] // size)]) for kind, found in by_kind.items()}
 
 
-def homes_and_guests(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """The home cell of each vector, and (vectors, cells): which cells it must visit besides."""
+@lru_cache(maxsize=64)
+def shared_pivots(dimensions: int) -> np.ndarray:
+    """A few directions from a seed, the pivots of small kinds."""
+    x = np.random.default_rng(dimensions).standard_normal((SHARED, dimensions))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def bands(distance: np.ndarray, radius: float) -> np.ndarray:
+    """Bands of the radius' width: points within the radius are in the same or in neighbouring ones."""
+    return np.floor(distance / (radius * (1 + 1e-9) + 1e-7)).astype(np.int32)
+
+
+def homes_and_guests(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home cell of each vector, which cells it must visit besides, and its distances to the pivots."""
     cosine = x @ pivots.T
     home = np.argmax(cosine, axis=1)
     own = np.take_along_axis(cosine, home[:, None], 1)
@@ -88,11 +118,11 @@ def homes_and_guests(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[
     # distance of x to the plane between its pivot and another: (d_j^2 - d_i^2) / (2 d_ij)
     visits = (far <= near + 2 * radius + slack) & (own - cosine <= (radius + slack) * between + slack)
     visits[np.arange(len(x)), home] = False
-    return home, visits
+    return home, visits, far
 
 
 def _celled(reps: DataFrame, pivots: dict[str, np.ndarray], radius: float) -> DataFrame:
-    """(kind, cell, home, rep, copies, vec): every vector at home, and as a guest elsewhere."""
+    """(kind, cell, band, home, rep, copies, vec): every vector at home, and as a guest elsewhere."""
     sent = reps.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,19 +130,26 @@ def _celled(reps: DataFrame, pivots: dict[str, np.ndarray], radius: float) -> Da
             if not batch.num_rows:
                 continue
             kinds, raw = np.array(batch.column(0).to_pylist()), batch.column(3).to_pylist()
-            row, cell, home = [np.arange(len(kinds))], [np.zeros(len(kinds), dtype=_I)], [np.ones(len(kinds), dtype=bool)]
-            for kind in set(kinds.tolist()) & set(sent.value):
-                at = np.flatnonzero(kinds == kind)
-                own, visits = homes_and_guests(unit([raw[i] for i in at]), sent.value[kind], radius)
-                cell[0][at] = own
+            row, cell, band, home = [], [], [], []
+            # kinds that share pivots go together, by their dimensions
+            groups = defaultdict(list)
+            for i, kind in enumerate(kinds.tolist()):
+                groups[kind if kind in sent.value else len(raw[i]) // 8].append(i)
+            for name, members in groups.items():
+                at = np.array(members)
+                places = sent.value[name] if isinstance(name, str) else shared_pivots(name)
+                own, visits, far = homes_and_guests(unit([raw[i] for i in members]), places, radius)
+                inner = np.arange(len(at))
                 who, where = np.nonzero(visits)
-                row.append(at[who])
-                cell.append(where)
-                home.append(np.zeros(len(who), dtype=bool))
+                for some, there, is_home in ((inner, own, True), (who, where, False)):
+                    row.append(at[some])
+                    cell.append(there)
+                    band.append(bands(far[some, there], radius))
+                    home.append(np.full(len(some), is_home))
             rows = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(home)), batch.column(1).take(rows), batch.column(2).take(rows), batch.column(3).take(rows)], ["kind", "cell", "home", "rep", "copies", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(band)), pa.array(np.concatenate(home)), *(batch.column(i).take(rows) for i in (1, 2, 3))], ["kind", "cell", "band", "home", "rep", "copies", "vec"])
 
-    return reps.select("kind", "rep", "copies", "vec").mapInArrow(run, "kind string, cell int, home boolean, rep bigint, copies bigint, vec binary")
+    return reps.select("kind", "rep", "copies", "vec").mapInArrow(run, "kind string, cell int, band int, home boolean, rep bigint, copies bigint, vec binary")
 
 
 def linked(a: list[bytes], b: list[bytes], least: float) -> np.ndarray:
@@ -128,13 +165,19 @@ def linked(a: list[bytes], b: list[bytes], least: float) -> np.ndarray:
 
 def _joined(cells: DataFrame, least: float) -> DataFrame:
     """(rep, n, other): per block, link counts of home vectors (other null) and tree edges (n null)."""
-    sizes = cells.groupBy("kind", "cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).cast("int").alias("homes"), F.ceil(F.count("*") / BLOCK).cast("int").alias("alls")).where("homes > 0")
-    placed = cells.join(sizes, ["kind", "cell"])
+    key = ["kind", "cell", "band"]
+    some = lambda name: F.ceil(F.count("*") / BLOCK).cast("int").alias(name)
+    own = cells.where("home").groupBy(*key).agg(some("homes"))
+    counts = cells.groupBy(*key).agg(F.count("*").alias("n"))
+    near = counts.select("kind", "cell", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), "n").groupBy(*key).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("alls"))
+    sizes = written(own.join(near, key), "bands").hint("merge")
     hashed = F.xxhash64("rep")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.where("home").select("kind", "cell", F.pmod(hashed, F.col("homes")).cast("int").alias("i"), upto("alls").alias("j"), F.lit(0).alias("side"), "rep", "copies", "vec")
-    right = placed.select("kind", "cell", upto("homes").alias("i"), F.pmod(hashed, F.col("alls")).cast("int").alias("j"), F.lit(1).alias("side"), "rep", "copies", "vec")
-    dealt = left.unionByName(right).repartition("kind", "cell", "i", "j").sortWithinPartitions("kind", "cell", "i", "j", "side")
+    around = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
+    left = cells.where("home").join(sizes, key).select(*key, F.pmod(hashed, F.col("homes")).cast("int").alias("i"), upto("alls").alias("j"), F.lit(0).alias("side"), "rep", "copies", "vec")
+    right = cells.select("kind", "cell", around, "rep", "copies", "vec").join(sizes, key).select(*key, upto("homes").alias("i"), F.pmod(hashed, F.col("alls")).cast("int").alias("j"), F.lit(1).alias("side"), "rep", "copies", "vec")
+    place = [*key, "i", "j"]
+    dealt = left.unionByName(right).repartition(*place).sortWithinPartitions(*place, "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, sides = None, ([], [])
@@ -158,10 +201,10 @@ def _joined(cells: DataFrame, least: float) -> DataFrame:
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for kind, cell, i, j, side, rep, copies, vec in zip(*cols, strict=True):
-                if (kind, cell, i, j) != name:
+            for *here, side, rep, copies, vec in zip(*cols, strict=True):
+                if here != name:
                     yield from shaped(flush())
-                    name, sides = (kind, cell, i, j), ([], [])
+                    name, sides = here, ([], [])
                 sides[side].append((rep, copies, vec))
         yield from shaped(flush())
 

@@ -71,6 +71,15 @@ def test_documents_without_an_id_are_mixed(spark):
     assert sorted(map(tuple, out), key=repr) == sorted(rows, key=repr)
 
 
+def test_clashing_columns_pass_through(spark):
+    names = ["row", "number", "position", "epoch", "size", "copies", "_row", "_gone", "key", "bucket", "target"]
+    rows = [(i, f"a b c {i}", "s", *[f"{n}{i}" for n in names]) for i in range(20)]
+    docs = spark.createDataFrame([*rows, rows[3]], ["doc_id", "text", "source", *names])
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted([*rows, rows[3]])
+    assert mixing.mix_positions(mixing.plan_mix(docs)).count() == 21
+
+
 def test_no_python_in_the_plan(spark, tricky):
     plan = mixing.plan_mix(tricky)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

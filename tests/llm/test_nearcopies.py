@@ -149,6 +149,14 @@ def test_odd_rows(spark, tricky, no_docs):
     assert all(r.kept for r in nearcopies.near_copies(unnamed).collect())
 
 
+def test_clashing_columns_pass_through(spark):
+    names = ["_gone", "gone", "digest", "component", "node", "rep", "kept"]
+    rows = [(i, f"some words for document {i // 2} and some more of them", *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = nearcopies.keep_one_of_each(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows[::2]
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     hub = [(7, i) for i in range(200, 400)] + [(3, 399)]

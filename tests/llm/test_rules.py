@@ -49,6 +49,34 @@ def test_any_order_gives_the_same_verdicts(tricky):
         assert want == [brute(t)[-1] for t in texts]
 
 
+def test_rejected_rows_are_not_evaluated():
+    seen = []
+
+    def watch(stats):
+        seen.extend(stats.part.raw(r).decode() for r in range(stats.part.n))
+        return stats.n_repeat_words < 0
+
+    texts = ["few", "a b c d e f g h i j k l", None, "x y", "one two three four five six seven eight nine ten"]
+    (part,) = slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]))
+    kept = rules.cascade(rules.Stats(part), (rules.BASE[0], rules.Rule("watch", watch)))
+    assert seen == [texts[1], texts[4]] and kept.tolist() == [False, True, False, False, True]
+
+
+def test_the_order_is_conditional_and_the_same_each_time():
+    # the second rule rejects what the first has rejected already, so the third comes before it
+    texts = ["# A"] * 40 + ["word"] * 20 + ["ab"] * 40
+    tried = (rules.Rule("symbols", lambda s: s.n_symbols > 0), rules.Rule("capitals", lambda s: s.n_upper > 0), rules.Rule("letters", lambda s: s.n_letters > 3))
+    assert rules.order_rules(texts, tried) == rules.order_rules(texts, tried) == [0, 2, 1]
+    assert rules.order_rules([], tried) == [0, 1, 2]
+
+
+def test_the_sample_is_of_whole_texts_by_hash(spark):
+    rows = [(i, "x" * (40_000 if i % 7 == 0 else i + 1)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = rules.sample_texts(docs, 300)
+    assert 200 < len(got) <= 300 and set(got) <= {t for _, t in rows} and max(map(len, got)) > 1000
+
+
 def test_cheap_selective_rules_come_first():
     texts = ["few"] * 50 + ["a b c d e f g h i j k l m n o p"] * 50
     order = rules.order_rules(texts, rules.RULES)

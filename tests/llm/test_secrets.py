@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pytest
 
@@ -56,6 +57,30 @@ def test_names_made_of_words_are_left(name):
     assert not secrets.is_random(name, secrets._encoding(secrets.vocabulary_path()))
 
 
+def test_random_spans_match_a_plain_version():
+    rnd, encoding = random.Random(3), secrets._encoding(secrets.vocabulary_path())
+    draw = lambda n: "".join(rnd.choice(string.ascii_letters + string.digits + "+/_=-") for _ in range(n))
+    parts = ["password=" + draw(30), "token: abc", "AKIA" + "Q7" * 12, "0123456789abcdef" * 2, "some_long_snake_case_name", "é"]
+    for _ in range(40):
+        text = "".join(rnd.choice([*parts, draw(rnd.randint(5, 40))]) + rnd.choice([" ", "\n", ".", ""]) for _ in range(12))
+        spans = base(text)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+            if len(m[0]) >= secrets.MIN_RUN and not any(a < m.end() and m.start() < b for _, a, b in spans[: len(base(text))]) and secrets.is_random(m[0], encoding):
+                spans.append(("random", m.start(), m.end()))
+        batch = secrets.pa.RecordBatch.from_arrays([secrets.pa.array([text])], ["text"])
+        (part,) = secrets.slices(batch)
+        (got,) = secrets.scan_slice(part, encoding, secrets.MIN_RUN, secrets.MAX_CHARS_PER_TOKEN)
+        assert [(ORDER[k], a, b) for a, b, k in got] == sorted(spans, key=lambda x: (x[1], ORDER.index(x[0])))
+
+
+def test_a_long_list_of_digests_takes_linear_time():
+    encoding, line = secrets._encoding(secrets.vocabulary_path()), "0123456789abcdef" * 4 + "\n"
+    (part,) = secrets.slices(secrets.pa.RecordBatch.from_arrays([secrets.pa.array([line * 60_000])], ["text"]))
+    began = time.perf_counter()
+    (spans,) = secrets.scan_slice(part, encoding, secrets.MIN_RUN, secrets.MAX_CHARS_PER_TOKEN)
+    assert len(spans) == 60_000 and time.perf_counter() - began < 20
+
+
 def test_redaction_keeps_rows_and_columns(tricky):
     out = secrets.redact_secrets(tricky)
     assert out.columns == tricky.columns and out.count() == tricky.count()

@@ -61,12 +61,31 @@ def test_replication_is_complete_and_prunes():
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     x = rng.standard_normal((500, 3))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    home, visits = vectors.homes_and_guests(x, pivots, np.sqrt(2 - 2 * 0.99))
+    home, visits, _ = vectors.homes_and_guests(x, pivots, np.sqrt(2 - 2 * 0.99))
     a, b = np.nonzero(x @ x.T >= 0.99)
     assert (visits[a, home[b]] | (home[a] == home[b])).all()
     assert visits.mean() < 0.4
 
 
+def test_bands_hold_all_partners():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    radius = np.sqrt(2 - 2 * 0.95)
+    band = vectors.bands(np.linalg.norm(x - [1, 0, 0], axis=1), radius)
+    a, b = np.nonzero(x @ x.T >= 0.95)
+    assert (abs(band[a] - band[b]) <= 1).all() and band.max() > 3
+
+
+def test_small_labels_cross_cells(spark):
+    # as many vectors as a label of the smallest tables has, and near pairs on cell borders
+    rows = random_rows(11, n=60)
+    usable = vectors._usable(spark.createDataFrame(rows, SCHEMA)).groupBy("kind", "vec").agg(vectors.F.min("vec_id").alias("rep"), vectors.F.count("*").alias("copies"))
+    cells = vectors._celled(usable, vectors.choose_pivots(usable), np.sqrt(2 - 2 * vectors.COSINE))
+    assert cells.select("cell").distinct().count() > 1 and cells.where("not home").count() > 0
+    assert {r.vec_id: tuple(r[1:]) for r in vectors.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
+
+
 def test_spanning_trees():
     rng = np.random.default_rng(3)
     for _ in range(50):
