@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.operators import dense, rag
 from lodestone.operators import evaluation as ev
@@ -13,7 +14,8 @@ from lodestone.operators import fusion as fu
 from lodestone.operators import graph as gr
 from lodestone.operators import postprocess as pp
 from lodestone.operators import scoring as sc
-from lodestone.functions.text import alnum_tokens
+from lodestone.operators import topk as tk
+from lodestone.functions.text import alnum_tokens, word_tokens, words_by_space
 from lodestone.sources.cut import cut
 from lodestone.sources.tables import with_format
 
@@ -29,63 +31,99 @@ class SearchEngine:
     one. Only what a strategy needs is planned.
     """
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, encoder: Callable = dense.hashing_encoder, scorer: Callable = dense.overlap_scorer):
+    def __init__(self, spark: SparkSession, chunks: DataFrame, encoder: Callable = dense.hashing_encoder, scorer: Callable = dense.overlap_scorer, query_encoder: Callable | None = None):
         self.spark, self.chunks = spark, with_format(chunks)
         self.encoder, self.scorer = encoder, scorer
+        #: Of asymmetric encoders, the one for queries.
+        self.query_encoder = query_encoder or encoder
         self._graph: tuple[DataFrame, DataFrame, DataFrame] | None = None
-        self.strategies: dict[str, Callable[[DataFrame], DataFrame]] = {
-            "bm25": lambda q: sc.ranked(self._bm25(q)),
-            "tfidf": lambda q: sc.ranked(self._tfidf(q)),
-            "linear_0.3": lambda q: sc.ranked(fu.linear(self._tfidf(q), self._bm25(q), 0.3)),
-            "linear_0.5": lambda q: sc.ranked(fu.linear(self._tfidf(q), self._bm25(q), 0.5)),
-            "linear_0.7": lambda q: sc.ranked(fu.linear(self._tfidf(q), self._bm25(q), 0.7)),
+        self._indexes: dict[str, sc.TermIndex] = {}
+        #: Each gives (query_id, chunk_id, score, rank) to some depth.
+        self.strategies: dict[str, Callable[[DataFrame, int], DataFrame]] = {
+            "bm25": lambda q, k: self._top(self._bm25(q), q, k),
+            "tfidf": lambda q, k: self._top(self._tfidf(q), q, k),
+            "linear_0.3": lambda q, k: self._linear(q, F.lit(0.3), k),
+            "linear_0.5": lambda q, k: self._linear(q, F.lit(0.5), k),
+            "linear_0.7": lambda q, k: self._linear(q, F.lit(0.7), k),
             "rrf": self._rrf,
-            "rrf_dedup": lambda q: self._dedup(self._rrf(q), pp.MAX_RESULTS),
-            "rrf_dedup_mmr": lambda q: self._mmr(self._dedup(self._rrf(q), pp.MMR_POOL)),
+            "rrf_dedup": lambda q, k: self._dedup(self._to_depth(self._rrf, q), pp.MAX_RESULTS),
+            "rrf_dedup_mmr": lambda q, k: self._mmr(self._dedup(self._to_depth(self._rrf, q), pp.MMR_POOL)),
             "ppmi": self._ppmi,
             "cross_encoder": self._cross_encoder,
-            "sentence_transformer": lambda q: self._dense(q, "", ""),
-            "adaptive": lambda q: sc.ranked(fu.adaptive(self._tfidf(q), self._bm25(q), q)),
-            "asymmetric": lambda q: self._dense(q, "query: ", "passage: "),
-            "rrf_graph_dedup_mmr": lambda q: self._mmr(self._dedup(self._rrf_graph(q), pp.MMR_POOL)),
-            "vector": lambda q: self._dense(q, "", ""),
-            "graph_only": lambda q: self._graph_top(q, 50),
+            "sentence_transformer": lambda q, k: self._dense(q, "", "", k),
+            "adaptive": lambda q, k: self._linear(q, fu.adaptive_alpha(F.col("query_text")), k),
+            "asymmetric": lambda q, k: self._dense(q, "query: ", "passage: ", k),
+            "rrf_graph_dedup_mmr": lambda q, k: self._mmr(self._dedup(self._to_depth(self._rrf_graph, q), pp.MMR_POOL)),
+            "vector": lambda q, k: self._dense(q, "", "", k),
+            "graph_only": lambda q, k: self._graph_top(q, 50),
             "rrf_graph": self._rrf_graph,
-            "rrf_graph_dedup": lambda q: self._dedup(self._rrf_graph(q), pp.MAX_RESULTS),
+            "rrf_graph_dedup": lambda q, k: self._dedup(self._to_depth(self._rrf_graph, q), pp.MAX_RESULTS),
         }
         self.aliases = {"graph": "rrf_graph_dedup_mmr"}
 
-    def _all(self, scores: DataFrame, q: DataFrame) -> DataFrame:
-        return sc.on_all(scores, q, self.chunks)
+    def _index(self, tokens) -> sc.TermIndex:
+        """The corpus' postings under a tokenizer, made once."""
+        if tokens.__name__ not in self._indexes:
+            self._indexes[tokens.__name__] = sc.TermIndex.build(self.chunks, tokens)
+        return self._indexes[tokens.__name__]
 
-    def _bm25(self, q):
-        return self._all(sc.bm25(q, self.chunks), q)
+    def save_indexes(self, path: str) -> None:
+        """Writes the postings that searches need, for ``load_indexes`` of a later engine."""
+        for tokens in (words_by_space, word_tokens, alnum_tokens):
+            self._index(tokens).save(f"{path}/{tokens.__name__}")
 
-    def _tfidf(self, q):
-        return self._all(sc.tfidf(q, self.chunks), q)
+    def load_indexes(self, path: str) -> None:
+        for tokens in (words_by_space, word_tokens, alnum_tokens):
+            self._indexes[tokens.__name__] = sc.TermIndex.load(self.spark, f"{path}/{tokens.__name__}")
 
-    def _rrf(self, q):
-        return fu.ranked_by_fusion(fu.rrf([sc.ranked(self._bm25(q)), sc.ranked(self._tfidf(q))]))
+    def _bm25(self, q, digits=sc.DIGITS):
+        return tk.Sparse.of(sc.bm25_indexed(q, self._index(words_by_space)), q, digits=digits)
+
+    def _tfidf(self, q, digits=sc.DIGITS):
+        return tk.Sparse.of(sc.tfidf_indexed(q, self._index(word_tokens)), q, digits=digits)
+
+    def _top(self, sparse, q, k):
+        return tk.top_ranked(sparse, q, self.chunks, k)
+
+    def _linear(self, q, alpha, k):
+        alphas = q.select("query_id", alpha.alias("alpha"))
+        return self._top(tk.scaled_linear([self._tfidf(q, None), self._bm25(q, None)], alphas, q, self.chunks), q, k)
+
+    @staticmethod
+    def _to_depth(fused, q):
+        """A fused ranking to any depth; its lists are scored once."""
+        lists = fused(q, None)
+        return lambda depth: lists(depth)
+
+    def _rrf(self, q, k, extra=()):
+        lists = [self._bm25(q), self._tfidf(q)]
+        to_depth = lambda depth: tk.top_fused(lists, q, self.chunks, depth, list(extra))
+        return to_depth if k is None else to_depth(k)
 
     def _dedup(self, ranking, most):
         return pp.dedup(ranking, self.chunks.select("chunk_id", "fmt"), most)
 
     def _mmr(self, pool):
-        return pp.mmr(pool, sc.tfidf_weights(self.chunks).select("chunk_id", "term", "w"))
+        pool = cut(pool)
+        return pp.mmr(pool, sc.tfidf_vectors(self._index(word_tokens), pool))
 
-    def _ppmi(self, q):
-        lists = [self._all(sc.ppmi(q, self.chunks), q), self._all(sc.bm25(q, self.chunks, floor=None, tokens=alnum_tokens), q)]
-        return fu.ranked_by_fusion(fu.rrf([sc.ranked(x) for x in lists]))
+    def _ppmi(self, q, k):
+        lists = [sc.ppmi(q, self.chunks), sc.bm25_indexed(q, self._index(alnum_tokens), floor=None, tokens=alnum_tokens)]
+        return tk.top_fused([tk.Sparse.of(x, q) for x in lists], q, self.chunks, k)
 
-    def _cross_encoder(self, q):
-        fused = self._rrf(q)
+    def _cross_encoder(self, q, k):
+        """The reranked and deduplicated head, then the rest of the fused ranking, ranked on."""
+        fused = cut(self._rrf(q, max(k, 50)))
         again = pp.rerank(fused, dense.pair_scores(fused.where("rank <= 50"), q, self.chunks, self.scorer))
-        return self._dedup(again.where("rank <= 50"), pp.MAX_RESULTS).unionByName(again.where("rank > 50"))
+        head = self._dedup(again.where("rank <= 50"), pp.MAX_RESULTS)
+        both = head.withColumn("part", F.lit(0)).unionByName(again.where("rank > 50").withColumn("part", F.lit(1)))
+        order = Window.partitionBy("query_id").orderBy("part", "rank")
+        return both.withColumn("rank", F.row_number().over(order)).drop("part")
 
-    def _dense(self, q, query_prefix, passage_prefix):
-        asked = dense.encode(q, "query_text", self.encoder, query_prefix).select("query_id", F.col("vector").alias("qv"))
+    def _dense(self, q, query_prefix, passage_prefix, k):
+        asked = dense.encode(q, "query_text", self.query_encoder if query_prefix else self.encoder, query_prefix).select("query_id", F.col("vector").alias("qv"))
         table = dense.encode(self.chunks, "fmt", self.encoder, passage_prefix).select("chunk_id", F.col("vector").alias("v"))
-        return sc.ranked(sc.dense(asked, table))
+        return sc.dense_top(asked, table, k)
 
     @property
     def graph(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -99,8 +137,8 @@ class SearchEngine:
         scores = gr.graph_scores(q, *self.graph, self.chunks.count())
         return sc.ranked(scores.where("score >= 0.2"), most)
 
-    def _rrf_graph(self, q):
-        return fu.ranked_by_fusion(fu.rrf([sc.ranked(self._bm25(q)), sc.ranked(self._tfidf(q)), self._graph_top(q, 5)], [1.0, 1.0, 0.35]))
+    def _rrf_graph(self, q, k):
+        return self._rrf(q, k, [(cut(self._graph_top(q, 5)), 0.35)])
 
     def resolve(self, name: str) -> str:
         """The strategy of this name or alias, else the first that holds it in any case."""
@@ -112,13 +150,13 @@ class SearchEngine:
                 return known
         raise StrategyNotFound(name)
 
-    def rank(self, queries: DataFrame, strategy: str = "rrf_dedup_mmr") -> DataFrame:
-        """(query_id, chunk_id, score, rank)."""
-        return self.strategies[self.resolve(strategy)](queries)
+    def rank(self, queries: DataFrame, strategy: str = "rrf_dedup_mmr", depth: int = 100) -> DataFrame:
+        """(query_id, chunk_id, score, rank), to some depth."""
+        return self.strategies[self.resolve(strategy)](queries, depth).where(F.col("rank") <= depth)
 
     def search(self, queries: DataFrame, strategy: str = "rrf_dedup_mmr", top_k: int = 5) -> DataFrame:
         """The best chunks of each query with their columns, score and rank."""
-        top = self.rank(queries, strategy).where(F.col("rank") <= top_k)
+        top = self.rank(queries, strategy, top_k)
         return top.join(self.chunks.drop("fmt"), "chunk_id").withColumn("strategy", F.lit(self.resolve(strategy)))
 
     def ask(self, query: str, strategy: str = "graph", top_k: int = 3) -> dict:
@@ -134,7 +172,7 @@ class SearchEngine:
         """Per strategy the mean metrics over queries, with truth (query_id, chunk_id)."""
         results = None
         for name in strategies:
-            one = self.rank(queries, name).select("query_id", "chunk_id", "rank", F.lit(self.resolve(name)).alias("strategy"))
+            one = self.rank(queries, name, self.chunks.count()).select("query_id", "chunk_id", "rank", F.lit(self.resolve(name)).alias("strategy"))
             results = one if results is None else results.unionByName(one)
         several = truth.groupBy("query_id").agg((F.count("*") > 1).alias("is_multihop"))
         return ev.averages(ev.metrics(results, truth), several)

@@ -243,7 +243,10 @@ def global_scores(queries: DataFrame, vertices: DataFrame, members: DataFrame) -
     tokens = queries.select("query_id", F.explode(F.array_except(F.array_distinct(ascii_words(F.col("query_text"))), stop)).alias("t"))
     sizes = members.groupBy("community").agg(F.count("*").alias("members"))
     names = members.select("community", F.lower("name").alias("low"))
-    hits = tokens.join(names, F.contains("low", "t")).select("query_id", "community", "t").distinct()
+    # a name that holds a token holds its first three letters: joined on those, then verified
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substring(F.col("low"), i, F.lit(3))))
+    indexed = names.where(F.length("low") >= 3).select("community", "low", F.explode(grams).alias("gram"))
+    hits = tokens.withColumn("gram", F.substring("t", 1, 3)).join(indexed, "gram").where(F.contains("low", "t")).select("query_id", "community", "t").distinct()
     overlap = hits.groupBy("query_id", "community").agg(F.count("*").alias("n"), F.max(F.length("t")).alias("longest")).where("n >= 2 OR longest >= 6")
     scored = overlap.join(sizes, "community").withColumn("s", F.round(F.col("n") / (F.sqrt("members") + 1e-6), 9))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "community"))).where("r <= 2")

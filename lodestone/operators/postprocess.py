@@ -5,6 +5,8 @@ Both walk a ranking in order, so they are array folds over one query's bounded p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,15 +30,17 @@ def _deduplicated(ranking: DataFrame, texts: DataFrame, pool: int, most: int, th
     return pools.select("query_id", F.size("pool").alias("seen"), F.aggregate("pool", F.slice("pool", 1, 0), step).alias("kept"))
 
 
-def dedup(ranking: DataFrame, texts: DataFrame, most: int = MAX_RESULTS, threshold: float = THRESHOLD) -> DataFrame:
+def dedup(ranking: DataFrame | Callable[[int], DataFrame], texts: DataFrame, most: int = MAX_RESULTS, threshold: float = THRESHOLD) -> DataFrame:
     """(query_id, chunk_id, score, rank): the first ``most`` entries unlike all accepted before.
 
-    texts: (chunk_id, fmt). The pool of a query grows until it yields enough entries or the
-    ranking ends, so nothing is cut short.
+    texts: (chunk_id, fmt). ranking: whole, or a function that gives it to some depth. The
+    pool of a query grows until it yields enough entries or the ranking ends, so nothing is
+    cut short.
     """
     pool = FIRST_POOL
+    whole = None if callable(ranking) else cut(ranking)
     while True:
-        found = cut(_deduplicated(ranking, texts, pool, most, threshold))
+        found = cut(_deduplicated(ranking(pool) if whole is None else whole, texts, pool, most, threshold))
         if found.where((F.size("kept") < most) & (F.col("seen") >= pool)).isEmpty():
             break
         pool *= 2

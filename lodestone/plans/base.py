@@ -97,3 +97,20 @@ def dedup_sql(name: str, of: str, most: int, pool: int = 400) -> str:
   WHERE len(kept) < {most}),
 {name} AS (SELECT query_id, k.chunk_id AS chunk_id, k.score AS score, pos::INTEGER AS rank FROM (
   SELECT query_id, unnest(kept) AS k, generate_subscripts(kept, 1) AS pos FROM (SELECT query_id, arg_max(kept, lvl) AS kept FROM {name}_r GROUP BY query_id)))"""
+
+
+def mmr_sql(name: str, of: str, k: int = 5) -> str:
+    """Maximal marginal relevance over the first 4 * k of ``of``, as a recursion over the picks. Needs TFIDF."""
+    return f"""{name}_p AS (SELECT query_id, chunk_id, score, rank, round(CASE WHEN hi - lo > 0 THEN (score - lo) / (hi - lo) ELSE 1 END, 9) AS rel FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM {of} WHERE rank <= {4 * k})),
+{name}_v AS (SELECT p.query_id, p.chunk_id, term, w FROM {name}_p p JOIN ti_w USING (chunk_id)),
+{name}_s AS (SELECT a.query_id, a.chunk_id, list({{'b': b.chunk_id, 'sim': sim}}) AS sims FROM (SELECT x.query_id, x.chunk_id, y.chunk_id AS other, round(sum(x.w * y.w), 9) AS sim FROM {name}_v x JOIN {name}_v y ON x.query_id = y.query_id AND x.term = y.term AND x.chunk_id <> y.chunk_id GROUP BY ALL) a JOIN {name}_p b ON b.query_id = a.query_id AND b.chunk_id = a.other GROUP BY a.query_id, a.chunk_id),
+{name}_x AS (SELECT p.*, s.sims FROM {name}_p p LEFT JOIN {name}_s s ON s.query_id = p.query_id AND s.chunk_id = p.chunk_id),
+{name}_r(query_id, lvl, picked) AS (
+  SELECT DISTINCT query_id, 0, []::BIGINT[] FROM {name}_p
+  UNION ALL
+  SELECT query_id, any_value(lvl) + 1, list_append(any_value(picked), arg_min(chunk_id, (-v, rank))) FROM (
+    SELECT r.query_id, r.lvl, r.picked, x.chunk_id, x.rank,
+      CASE WHEN len(r.picked) = 0 THEN x.rel ELSE round(0.7::DOUBLE * x.rel - (1 - 0.7::DOUBLE) * coalesce(list_max(list_transform(list_filter(x.sims, lambda e: list_contains(r.picked, e.b)), lambda e: e.sim)), 0), 9) END AS v
+    FROM {name}_r r JOIN {name}_x x ON x.query_id = r.query_id WHERE r.lvl < {k} AND NOT list_contains(r.picked, x.chunk_id))
+  GROUP BY query_id),
+{name} AS (SELECT l.query_id, l.chunk_id, p.score, l.rank FROM (SELECT query_id, unnest(picked) AS chunk_id, generate_subscripts(picked, 1)::INTEGER AS rank FROM (SELECT query_id, arg_max(picked, lvl) AS picked FROM {name}_r GROUP BY query_id)) l JOIN {name}_p p ON p.query_id = l.query_id AND p.chunk_id = l.chunk_id)"""

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 from lodestone.functions import text as tx
 from lodestone.operators import chunking as ck
 from lodestone.operators import rag
-from lodestone.operators import scoring as sc
 from lodestone.plans.base import ALNUM, SPLIT, C, bm25_sql, query, rank_sql
 from lodestone.plans.search import Base
 from lodestone.sources import tables as tb
@@ -204,7 +203,7 @@ TOP = f"WITH {C}, {BM}, {rank_sql('k', 'bm')}, top AS (SELECT * FROM k JOIN c US
 
 def _top(spark, sf_dir):
     b = Base(spark, sf_dir)
-    return b, sc.ranked(b.bm25(), 5).join(b.chunks.drop("fmt"), "chunk_id")
+    return b, b.top("bm25", 5).join(b.chunks.drop("fmt"), "chunk_id")
 
 
 @query("n1_context", TOP + """, blk AS (SELECT query_id, rank, '[Source ' || rank || ': ' || doc_name || ' | Page 1 | § Overview]' || chr(10) || text AS block FROM top),
@@ -235,7 +234,10 @@ def normalized_scores(spark, sf_dir):
     return _top(spark, sf_dir)[1].select("query_id", "rank", F.round(rag.normalized_score(F.col("score")), 9).alias("normalized"), F.round(rag.simulated_score(F.col("rank")), 9).alias("simulated"))
 
 
-@query("n9_extractive_answers")
+@query("n9_extractive_answers", TOP + f""", sn AS (SELECT query_id, rank, query_text, unnest(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0b\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))) AS sentence, generate_subscripts(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0b\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), 1) AS pos FROM top),
+so AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 9) END AS s FROM (SELECT *, list_distinct({SPLIT.format('query_text')}) AS a, list_distinct({SPLIT.format('sentence')}) AS b FROM sn)),
+be AS (SELECT query_id, sentence, rank FROM so QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank, pos) = 1)
+SELECT query_id, sentence AS answer, [rank] AS citations FROM be""")
 def extractive_answers(spark, sf_dir):
     b, top = _top(spark, sf_dir)
     return rag.extractive_answer(b.queries, top)

@@ -9,7 +9,7 @@ from lodestone.operators import fusion as fu
 from lodestone.operators import graph as gr
 from lodestone.operators import postprocess as pp
 from lodestone.operators import scoring as sc
-from lodestone.plans.base import TFIDF, C, bm25_sql, query, rank_sql, rrf_sql, top_sql
+from lodestone.plans.base import TFIDF, C, bm25_sql, dedup_sql, mmr_sql, query, rank_sql, rrf_sql, top_sql
 from lodestone.plans.search import Base
 from lodestone.sources import tables as tb
 from lodestone.sources.cut import cut
@@ -51,6 +51,17 @@ COMPONENTS = f"""{PAIRS},
 bo AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed),
 re(a, b) AS (SELECT name, name FROM vx UNION SELECT re.a, bo.b FROM re JOIN bo ON bo.a = re.b),
 cm AS (SELECT a AS name, min(b) AS community FROM re GROUP BY a)"""
+GLOBAL = f"""{COMPONENTS},
+gt AS (SELECT query_id, unnest(w) AS t FROM qw),
+gh AS (SELECT DISTINCT query_id, community, t FROM gt JOIN cm ON contains(lower(name), t)),
+go AS (SELECT query_id, community, count(*) AS n FROM gh GROUP BY ALL HAVING count(*) >= 2 OR max(length(t)) >= 6),
+gz AS (SELECT community, count(*) AS members FROM cm GROUP BY ALL),
+gb AS (SELECT query_id, community, s FROM (SELECT query_id, community, round(n / (sqrt(members) + 1e-6), 9) AS s FROM go JOIN gz USING (community)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, community) <= 2),
+gp AS (SELECT query_id, unnest(chunk_ids) AS chunk_id, s FROM gb JOIN cm USING (community) JOIN vx USING (name)),
+gs AS (SELECT query_id, chunk_id, s / max(s) OVER (PARTITION BY query_id) AS score FROM (SELECT query_id, chunk_id, sum(s) AS s FROM gp GROUP BY ALL))"""
+WITH_LOCAL = LOCAL[len(PAIRS):] + GLOBAL[len(PAIRS):]
+SCORES = f"{PAIRS}{WITH_LOCAL}, gr AS (SELECT * FROM ls UNION ALL SELECT * FROM gs WHERE query_id NOT IN (SELECT query_id FROM ls))"
+GRAPH = f"WITH RECURSIVE {C}, {SCORES}, {bm25_sql('bm')}, {TFIDF}, g AS (SELECT * FROM gr WHERE score >= 0.2), {rank_sql('kg0', 'g')}, kg AS (SELECT * FROM kg0 WHERE rank <= 5), {rank_sql('kb', 'bm')}, {rank_sql('kt', 'ti')}, {rrf_sql('f', [('kb', 1.0), ('kt', 1.0), ('kg', 0.35)])}"
 
 
 class Graph(Base):
@@ -166,13 +177,13 @@ def _graph_scores(g: Graph):
     return gr.graph_scores(g.queries, g.vertices, g.edges, gr.communities(g.vertices, g.edges), g.chunks.count())
 
 
-@query("r21_global_graph")
+@query("r21_global_graph", f"WITH RECURSIVE {C}, {PAIRS}{WITH_LOCAL} SELECT query_id, chunk_id, round(score, 6) AS score FROM gs")
 def global_graph(spark, sf_dir):
     g = Graph(spark, sf_dir)
     return gr.global_scores(g.queries, g.vertices, gr.communities(g.vertices, g.edges)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("r22_graph_scores")
+@query("r22_graph_scores", f"WITH RECURSIVE {C}, {SCORES} SELECT query_id, chunk_id, round(score, 6) AS score FROM gr")
 def graph_scores(spark, sf_dir):
     return _graph_scores(Graph(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -182,8 +193,9 @@ def _graph_ranking(g: Graph, most: int):
     return sc.ranked(_graph_scores(g).where("score >= 0.2"), most)
 
 
-def _graph_rrf(g: Graph):
-    return fu.ranked_by_fusion(fu.rrf([sc.ranked(g.bm25()), sc.ranked(g.tfidf()), _graph_ranking(g, 5)], [1.0, 1.0, 0.35]))
+def _graph_rrf(g: Graph, depth: int):
+    hits = g.once("graph ranking", lambda: cut(_graph_ranking(g, 5)))
+    return g.fused(depth, [(hits, 0.35)])
 
 
 @query("f7_local_threshold", f"WITH {C}, {LOCAL}, g AS (SELECT * FROM ls WHERE score >= 0.2), {rank_sql('k', 'g')} SELECT query_id, chunk_id, score, rank FROM k WHERE rank <= 5")
@@ -197,33 +209,32 @@ def graph_weighted_rrf(spark, sf_dir):
     """Fusion of word scores with the local graph's; queries without hits are fused plainly."""
     g = Graph(spark, sf_dir)
     hits = sc.ranked(gr.local_scores(g.queries, g.vertices, g.edges, g.chunks.count()).where("score >= 0.2"), 5)
-    return fu.ranked_by_fusion(fu.rrf([sc.ranked(g.bm25()), sc.ranked(g.tfidf()), hits], [1.0, 1.0, 0.35]), 10)
+    return g.fused(10, [(cut(hits), 0.35)])
 
 
-@query("strategy_14_graph")
+@query("strategy_14_graph", f"{GRAPH}, {dedup_sql('z', 'f', 20)}, {mmr_sql('mm', 'z')} SELECT * FROM mm")
 def strategy_graph(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    pool = pp.dedup(_graph_rrf(g), g.chunks.select("chunk_id", "fmt"), most=pp.MMR_POOL)
-    return pp.mmr(pool, sc.tfidf_weights(g.chunks).select("chunk_id", "term", "w"))
+    return g.mmr(cut(pp.dedup(lambda depth: _graph_rrf(g, depth), g.texts(), most=pp.MMR_POOL)))
 
 
-@query("ablation_a_graph_only")
+@query("ablation_a_graph_only", f"WITH RECURSIVE {C}, {SCORES}, g AS (SELECT * FROM gr WHERE score >= 0.2), {rank_sql('k', 'g')} SELECT query_id, chunk_id, score, rank FROM k WHERE rank <= 50")
 def graph_only(spark, sf_dir):
     return _graph_ranking(Graph(spark, sf_dir), 50)
 
 
-@query("ablation_b_rrf_graph")
+@query("ablation_b_rrf_graph", f"{GRAPH} {top_sql('f')}")
 def rrf_graph(spark, sf_dir):
-    return _graph_rrf(Graph(spark, sf_dir)).where("rank <= 10")
+    return _graph_rrf(Graph(spark, sf_dir), 10)
 
 
-@query("ablation_c_rrf_graph_dedup")
+@query("ablation_c_rrf_graph_dedup", f"{GRAPH}, {dedup_sql('z', 'f', 10)} SELECT query_id, chunk_id, score, rank FROM z")
 def rrf_graph_dedup(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return pp.dedup(_graph_rrf(g), g.chunks.select("chunk_id", "fmt"))
+    return pp.dedup(lambda depth: _graph_rrf(g, depth), g.texts())
 
 
-@query("n2_graph_triplets")
+@query("n2_graph_triplets", f"WITH {C}, {ASKED}, n3 AS (SELECT query_id, name FROM qe QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY name) <= 3), me AS (SELECT query_id, name, src, dst FROM n3 JOIN ed ON name = src UNION ALL SELECT query_id, name, src, dst FROM n3 JOIN ed ON name = dst) SELECT * FROM me QUALIFY row_number() OVER (PARTITION BY query_id, name ORDER BY src, dst) <= 3")
 def graph_triplets(spark, sf_dir):
     """The first three edges of the first three entities of each query."""
     g = Graph(spark, sf_dir)

@@ -10,30 +10,65 @@ from lodestone.operators import evaluation as ev
 from lodestone.operators import fusion as fu
 from lodestone.operators import postprocess as pp
 from lodestone.operators import scoring as sc
-from lodestone.plans.base import ALNUM, SPLIT, TFIDF, C, bm25_sql, dedup_sql, norm_sql, query, rank_sql, rrf_sql, top_sql
+from lodestone.operators import topk as tk
+from lodestone.plans.base import ALNUM, SPLIT, TFIDF, C, bm25_sql, dedup_sql, mmr_sql, norm_sql, query, rank_sql, rrf_sql, top_sql
 from lodestone.sources import tables as tb
+from lodestone.sources.cut import cut
 
 TOP_K = 10
 BM, BM2 = bm25_sql("bm"), bm25_sql("b2", ALNUM, floor=False)
 
 
 class Base:
-    """The inputs and base scores of one corpus, each built once a query."""
+    """The inputs and base scores of one corpus, each tokenised and scored once a query."""
 
     def __init__(self, spark, sf_dir):
         self.chunks, self.queries = tb.chunks(spark, sf_dir), tb.search_queries(spark, sf_dir)
+        self.made = {}
+
+    def once(self, name: str, make):
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
+
+    def index(self, tokens) -> sc.TermIndex:
+        return self.once(tokens.__name__, lambda: sc.TermIndex.build(self.chunks, tokens))
 
     def everywhere(self, scores: DataFrame) -> DataFrame:
         return sc.on_all(scores, self.queries, self.chunks)
 
+    def bm25_matched(self) -> DataFrame:
+        return sc.bm25_indexed(self.queries, self.index(tx.words_by_space))
+
+    def tfidf_matched(self) -> DataFrame:
+        return sc.tfidf_indexed(self.queries, self.index(tx.word_tokens))
+
     def bm25(self) -> DataFrame:
-        return self.everywhere(sc.bm25(self.queries, self.chunks))
+        return self.everywhere(self.bm25_matched())
 
     def tfidf(self) -> DataFrame:
-        return self.everywhere(sc.tfidf(self.queries, self.chunks))
+        return self.everywhere(self.tfidf_matched())
+
+    def sparse(self, name: str, digits: int | None = sc.DIGITS) -> tk.Sparse:
+        """Scores of matched chunks, written once."""
+        make = {"bm25": self.bm25_matched, "tfidf": self.tfidf_matched, "ppmi": lambda: sc.ppmi(self.queries, self.chunks), "bm25_positive": lambda: sc.bm25_indexed(self.queries, self.index(tx.alnum_tokens), floor=None, tokens=tx.alnum_tokens)}
+        return self.once(f"sparse {name} {digits}", lambda: tk.Sparse.of(make[name](), self.queries, digits=digits))
+
+    def top(self, name: str, k: int) -> DataFrame:
+        return tk.top_ranked(self.sparse(name), self.queries, self.chunks, k)
+
+    def linear(self, alphas: DataFrame) -> tk.Sparse:
+        return tk.scaled_linear([self.sparse("tfidf", None), self.sparse("bm25", None)], alphas, self.queries, self.chunks)
+
+    def fused(self, depth: int, extra=()) -> DataFrame:
+        """The head of the reciprocal-rank fusion of BM25 and TF-IDF."""
+        return tk.top_fused([self.sparse("bm25"), self.sparse("tfidf")], self.queries, self.chunks, depth, list(extra))
+
+    def texts(self) -> DataFrame:
+        return self.chunks.select("chunk_id", "fmt")
 
-    def rrf(self) -> DataFrame:
-        return fu.rrf([sc.ranked(self.bm25()), sc.ranked(self.tfidf())])
+    def mmr(self, pool: DataFrame) -> DataFrame:
+        return pp.mmr(pool, sc.tfidf_vectors(self.index(tx.word_tokens), pool))
 
 
 def _scores(df: DataFrame) -> DataFrame:
@@ -132,7 +167,7 @@ def dense_cosine(spark, sf_dir):
 @query("r16_vector_search", f"WITH {DENSE}, {rank_sql('k', 'd')} {top_sql('k')}")
 def vector_search(spark, sf_dir):
     asked, table = _vectors(spark, sf_dir)
-    return sc.ranked(sc.dense(asked.drop("query_label"), table.drop("label")), TOP_K)
+    return sc.dense_top(asked.drop("query_label"), table.drop("label"), TOP_K)
 
 
 @query("r17_filtered_vector_search", f"WITH {DENSE}, s AS (SELECT * FROM d WHERE ql = cl), {rank_sql('k', 's')} {top_sql('k')}")
@@ -211,18 +246,18 @@ def _linear_sql(alpha: str) -> str:
 
 @query("strategy_01_bm25", f"WITH {C}, {BM}, {rank_sql('k', 'bm')} {top_sql('k')}")
 def strategy_bm25(spark, sf_dir):
-    return sc.ranked(Base(spark, sf_dir).bm25(), TOP_K)
+    return Base(spark, sf_dir).top("bm25", TOP_K)
 
 
 @query("strategy_02_tfidf", f"WITH {C}, {TFIDF}, {rank_sql('k', 'ti')} {top_sql('k')}")
 def strategy_tfidf(spark, sf_dir):
-    return sc.ranked(Base(spark, sf_dir).tfidf(), TOP_K)
+    return Base(spark, sf_dir).top("tfidf", TOP_K)
 
 
 def _linear(alpha: float):
     def run(spark, sf_dir):
         b = Base(spark, sf_dir)
-        return sc.ranked(fu.linear(b.tfidf(), b.bm25(), alpha), TOP_K)
+        return tk.top_ranked(b.linear(b.queries.select("query_id", F.lit(alpha).alias("alpha"))), b.queries, b.chunks, TOP_K)
 
     return run
 
@@ -233,41 +268,41 @@ for _n, _alpha in ((3, 0.3), (4, 0.5), (5, 0.7)):
 
 @query("strategy_06_rrf", f"{RRF} {top_sql('f')}")
 def strategy_rrf(spark, sf_dir):
-    return fu.ranked_by_fusion(Base(spark, sf_dir).rrf(), TOP_K)
+    return Base(spark, sf_dir).fused(TOP_K)
 
 
 @query("strategy_07_rrf_dedup", f"{RRF}, {dedup_sql('z', 'f', 10)} SELECT query_id, chunk_id, score, rank FROM z")
 def strategy_rrf_dedup(spark, sf_dir):
     b = Base(spark, sf_dir)
-    return pp.dedup(fu.ranked_by_fusion(b.rrf()), b.chunks.select("chunk_id", "fmt"))
+    return pp.dedup(b.fused, b.texts())
 
 
-@query("strategy_08_rrf_dedup_mmr")
+@query("strategy_08_rrf_dedup_mmr", f"{RRF}, {dedup_sql('z', 'f', 20)}, {mmr_sql('m', 'z')} SELECT * FROM m")
 def strategy_rrf_dedup_mmr(spark, sf_dir):
     b = Base(spark, sf_dir)
-    pool = pp.dedup(fu.ranked_by_fusion(b.rrf()), b.chunks.select("chunk_id", "fmt"), most=pp.MMR_POOL)
-    return pp.mmr(pool, sc.tfidf_weights(b.chunks).select("chunk_id", "term", "w"))
+    return b.mmr(cut(pp.dedup(b.fused, b.texts(), most=pp.MMR_POOL)))
 
 
 @query("strategy_09_ppmi", f"WITH {C}, {BM2}, {PPMI_SCORE}, pa AS (SELECT q.query_id, c.chunk_id, coalesce(score, 0) AS score FROM q CROSS JOIN c LEFT JOIN pp_s s ON s.query_id = q.query_id AND s.chunk_id = c.chunk_id), {rank_sql('kp', 'pa')}, {rank_sql('k2', 'b2')}, {rrf_sql('f', [('kp', 1.0), ('k2', 1.0)])} {top_sql('f')}")
 def strategy_ppmi(spark, sf_dir):
     b = Base(spark, sf_dir)
-    one = sc.ranked(b.everywhere(sc.ppmi(b.queries, b.chunks)))
-    two = sc.ranked(b.everywhere(sc.bm25(b.queries, b.chunks, floor=None, tokens=tx.alnum_tokens)))
-    return fu.ranked_by_fusion(fu.rrf([one, two]), TOP_K)
+    return tk.top_fused([b.sparse("ppmi"), b.sparse("bm25_positive")], b.queries, b.chunks, TOP_K)
 
 
-@query("strategy_10_cross_encoder")
+#: The stand-in pair scorer in SQL: the share of a query's words that a passage has.
+PAIRS = f"""f50 AS (SELECT f.query_id, f.chunk_id, f.rank, list_distinct({SPLIT.format('query_text')}) AS a, list_distinct({SPLIT.format('fmt')}) AS b FROM f JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE f.rank <= 50),
+ps AS (SELECT query_id, chunk_id, rank AS before, round(len(list_intersect(a, b))::DOUBLE / greatest(1, len(a)), 9) AS score FROM f50),
+ag AS (SELECT query_id, chunk_id, before, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before)::INTEGER AS rank FROM ps)"""
+
+
+@query("strategy_10_cross_encoder", f"{RRF}, {PAIRS}, {dedup_sql('z', 'ag', 10)} SELECT query_id, chunk_id, score, rank FROM z")
 def strategy_cross_encoder(spark, sf_dir):
     """Reranks the fused pool with a pair scorer; here the offline stand-in of ``dense.pair_scores``."""
     from lodestone.operators.dense import pair_scores
 
     b = Base(spark, sf_dir)
-    fused = fu.ranked_by_fusion(b.rrf())
-    scores = pair_scores(fused.where("rank <= 50"), b.queries, b.chunks)
-    again = pp.rerank(fused, scores)
-    head = pp.dedup(again.where("rank <= 50"), b.chunks.select("chunk_id", "fmt"))
-    return head.unionByName(again.where("rank > 50")).where(F.col("rank") <= TOP_K)
+    pool = cut(b.fused(50))
+    return pp.dedup(pp.rerank(pool, pair_scores(pool, b.queries, b.chunks)), b.texts(), TOP_K)
 
 
 @query("strategy_11_sentence_transformer")
@@ -277,13 +312,14 @@ def strategy_sentence_transformer(spark, sf_dir):
 
     b = Base(spark, sf_dir)
     asked = encode(b.queries, "query_text").select("query_id", F.col("vector").alias("qv"))
-    return sc.ranked(sc.dense(asked, encode(b.chunks, "fmt").select("chunk_id", F.col("vector").alias("v"))), TOP_K)
+    return sc.dense_top(asked, encode(b.chunks, "fmt").select("chunk_id", F.col("vector").alias("v")), TOP_K)
 
 
 @query("strategy_12_adaptive", _linear_sql(ALPHA))
 def strategy_adaptive(spark, sf_dir):
     b = Base(spark, sf_dir)
-    return sc.ranked(fu.adaptive(b.tfidf(), b.bm25(), b.queries), TOP_K)
+    alphas = b.queries.select("query_id", fu.adaptive_alpha(F.col("query_text")).alias("alpha"))
+    return tk.top_ranked(b.linear(alphas), b.queries, b.chunks, TOP_K)
 
 
 @query("strategy_13_asymmetric")
@@ -293,20 +329,20 @@ def strategy_asymmetric(spark, sf_dir):
 
     b = Base(spark, sf_dir)
     asked = encode(b.queries, "query_text", prefix="query: ").select("query_id", F.col("vector").alias("qv"))
-    return sc.ranked(sc.dense(asked, encode(b.chunks, "fmt", prefix="passage: ").select("chunk_id", F.col("vector").alias("v"))), TOP_K)
+    return sc.dense_top(asked, encode(b.chunks, "fmt", prefix="passage: ").select("chunk_id", F.col("vector").alias("v")), TOP_K)
 
 
 @query("strategy_15_vector", f"WITH {DENSE}, {rank_sql('k', 'd')} {top_sql('k')}")
 def strategy_vector(spark, sf_dir):
     asked, table = _vectors(spark, sf_dir)
-    return sc.ranked(sc.dense(asked.drop("query_label"), table.drop("label")), TOP_K)
+    return sc.dense_top(asked.drop("query_label"), table.drop("label"), TOP_K)
 
 
 @query("u5_rrf_multi", f"{LINEAR}, {rank_sql('kb', 'bm')}, {rank_sql('kt', 'ti')}, h AS (SELECT query_id, chunk_id, 0.5::DOUBLE * nt.score + 0.5::DOUBLE * nb.score AS score FROM nt JOIN nb USING (query_id, chunk_id)), {rank_sql('kl', 'h')}, {rrf_sql('f', [('kb', 1.0), ('kt', 1.0), ('kl', 1.0)])} {top_sql('f')}")
 def rrf_multi(spark, sf_dir):
     b = Base(spark, sf_dir)
-    lists = [b.bm25(), b.tfidf(), fu.linear(b.tfidf(), b.bm25(), 0.5)]
-    return fu.ranked_by_fusion(fu.rrf([sc.ranked(x) for x in lists]), TOP_K)
+    lists = [b.sparse("bm25"), b.sparse("tfidf"), b.linear(b.queries.select("query_id", F.lit(0.5).alias("alpha")))]
+    return tk.top_fused(lists, b.queries, b.chunks, TOP_K)
 
 
 @query("u9_jaccard", f"WITH {C}, w AS (SELECT query_id, list_distinct({SPLIT.format('query_text')}) AS w FROM q), x AS (SELECT chunk_id, list_distinct({SPLIT.format('text')}) AS w FROM c) SELECT query_id, chunk_id, CASE WHEN len(w.w) = 0 OR len(x.w) = 0 THEN 0 ELSE round(len(list_intersect(w.w, x.w))::DOUBLE / len(list_distinct(list_concat(w.w, x.w))), 9) END AS score FROM w CROSS JOIN x")
@@ -320,26 +356,40 @@ def jaccard(spark, sf_dir):
 @query("f9_decorated_results", f"WITH {C}, {BM}, {rank_sql('k', 'bm')} SELECT query_id, 'bm25' AS strategy, rank, chunk_id, score, doc_name, page_num, section, text FROM k JOIN c USING (chunk_id) WHERE rank <= 10")
 def decorated_results(spark, sf_dir):
     b = Base(spark, sf_dir)
-    return sc.ranked(b.bm25(), TOP_K).join(b.chunks.drop("fmt"), "chunk_id").select("query_id", F.lit("bm25").alias("strategy"), "rank", "chunk_id", "score", "doc_name", "page_num", "section", "text")
+    return b.top("bm25", TOP_K).join(b.chunks.drop("fmt"), "chunk_id").select("query_id", F.lit("bm25").alias("strategy"), "rank", "chunk_id", "score", "doc_name", "page_num", "section", "text")
 
 
 @query("e13_ranking_only", f"WITH {C}, {TFIDF}, {rank_sql('k', 'ti')} SELECT query_id, 'tfidf' AS strategy, chunk_id, rank FROM k WHERE rank <= 10")
 def ranking_only(spark, sf_dir):
-    return sc.ranked(Base(spark, sf_dir).tfidf(), TOP_K).select("query_id", F.lit("tfidf").alias("strategy"), "chunk_id", "rank")
+    return Base(spark, sf_dir).top("tfidf", TOP_K).select("query_id", F.lit("tfidf").alias("strategy"), "chunk_id", "rank")
 
 
 # --- evaluation: a chunk that holds the first sixty characters of an item is its truth
 
 
-def _truth(spark, sf_dir):
-    items = tb.search_queries(spark, sf_dir).select("query_id", F.substring("query_text", 1, 60).alias("head"))
-    return items.join(tb.chunks(spark, sf_dir), F.contains("text", "head")).select("query_id", "chunk_id", F.col("doc_name").alias("target_doc"))
-
-
-def _results(spark, sf_dir):
-    b = Base(spark, sf_dir)
+def _truth(spark, sf_dir, base: Base | None = None):
+    """Found through the rarest inner word of an item's head: a text that holds the head holds it."""
+    b = base or Base(spark, sf_dir)
+    items = b.queries.select("query_id", F.substring("query_text", 1, 60).alias("head"))
+    # runs of letters and digits with something else on both sides within the head
+    inner = F.regexp_extract_all(F.lower("head"), F.lit("(?<=[^\\p{L}\\p{N}])[\\p{L}\\p{N}]+(?=[^\\p{L}\\p{N}])"), F.lit(0))
+    words = items.select("query_id", "head", inner.alias("w"))
+    index = b.index(tx.alnum_tokens)
+    rare = words.select("query_id", "head", F.explode("w").alias("term")).join(index.posts.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("query_id", "head").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    texts = b.chunks.select("chunk_id", "text", F.col("doc_name").alias("target_doc"))
+    found = rare.join(index.posts.select("term", "chunk_id"), "term").join(texts, "chunk_id").where(F.contains("text", "head")).select("query_id", "chunk_id", "target_doc")
+    plain = words.where(F.size("w") == 0)
+    if not plain.isEmpty():  # heads of a word or two can only be looked for everywhere
+        found = found.unionByName(plain.join(texts, F.contains("text", "head")).select("query_id", "chunk_id", "target_doc"))
+    return found
+
+
+def _results(spark, sf_dir, base: Base | None = None):
+    """Whole rankings of three strategies; each is scored and ranked once."""
+    b = base or Base(spark, sf_dir)
     named = lambda df, s: df.select("query_id", "chunk_id", "rank", F.lit(s).alias("strategy"))
-    return named(sc.ranked(b.bm25()), "bm25").unionByName(named(sc.ranked(b.tfidf()), "tfidf")).unionByName(named(fu.ranked_by_fusion(b.rrf()), "rrf"))
+    one, two = (cut(sc.ranked(b.sparse(name).everywhere(b.queries, b.chunks))) for name in ("bm25", "tfidf"))
+    return named(one, "bm25").unionByName(named(two, "tfidf")).unionByName(named(fu.ranked_by_fusion(fu.rrf([one, two])), "rrf"))
 
 
 TRUTH = "tr AS (SELECT query_id, chunk_id, doc_name AS target_doc FROM q JOIN c ON contains(c.text, substr(query_text, 1, 60)))"
@@ -350,20 +400,23 @@ HOP = "hop AS (SELECT query_id, count(*) > 1 AS is_multihop FROM tr GROUP BY que
 
 @query("e1_relevant_ranks", f"{RESULTS} SELECT strategy, query_id, chunk_id, rank FROM mk WHERE rel")
 def relevant_ranks(spark, sf_dir):
-    return ev.relevant_ranks(_results(spark, sf_dir), _truth(spark, sf_dir)).where("rel").select("strategy", "query_id", "chunk_id", "rank")
+    b = Base(spark, sf_dir)
+    return ev.relevant_ranks(_results(spark, sf_dir, b), _truth(spark, sf_dir, b)).where("rel").select("strategy", "query_id", "chunk_id", "rank")
 
 
 @query("e7_query_metrics", f"{RESULTS}, {METRICS} SELECT * FROM me")
 def query_metrics(spark, sf_dir):
-    return ev.metrics(_results(spark, sf_dir), _truth(spark, sf_dir))
+    b = Base(spark, sf_dir)
+    return ev.metrics(_results(spark, sf_dir, b), _truth(spark, sf_dir, b))
 
 
 @query("e8_harness_means", f"{RESULTS}, {METRICS}, {HOP} SELECT strategy, " + ", ".join(f"round(avg({m}), 9) AS {m}" for m in ("mrr", "recall_1", "recall_3", "recall_5", "ndcg_5")) + ", " + ", ".join(f"round(avg({m}) FILTER (WHERE is_multihop), 9) AS multihop_{m}" for m in ("mrr", "ndcg_5")) + " FROM me JOIN hop USING (query_id) GROUP BY strategy")
 def harness_means(spark, sf_dir):
     """Items with several true chunks stand for multihop questions; items without any are left out."""
-    truth = _truth(spark, sf_dir)
+    b = Base(spark, sf_dir)
+    truth = cut(_truth(spark, sf_dir, b))
     hop = truth.groupBy("query_id").agg((F.count("*") > 1).alias("is_multihop"))
-    return ev.averages(ev.metrics(_results(spark, sf_dir), truth), hop)
+    return ev.averages(ev.metrics(_results(spark, sf_dir, b), truth), hop)
 
 
 def _items(spark, sf_dir):
@@ -379,14 +432,14 @@ ITEMS = f"it AS (SELECT t.*, list_slice(list_sort(list_distinct(list_filter(rege
 @query("e5_entity_coverage", f"{RESULTS}, {ITEMS}, top AS (SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS whole FROM kb JOIN c USING (chunk_id) WHERE rank <= 5 GROUP BY query_id), x AS (SELECT query_id, unnest(ents) AS e FROM it) SELECT query_id, avg(list_contains(regexp_extract_all(lower(whole), '[\\p{{L}}\\p{{N}}_]+'), e)::INT) AS coverage FROM x JOIN top USING (query_id) GROUP BY query_id")
 def entity_coverage(spark, sf_dir):
     b = Base(spark, sf_dir)
-    top = sc.ranked(b.bm25(), 5).join(b.chunks, "chunk_id").select("query_id", "rank", "text")
+    top = b.top("bm25", 5).join(b.chunks, "chunk_id").select("query_id", "rank", "text")
     return ev.entity_coverage(top, _items(spark, sf_dir))
 
 
 @query("e6_relation_coverage", f"{RESULTS}, {ITEMS}, top AS (SELECT query_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM kb JOIN c USING (chunk_id) WHERE rank <= 5) SELECT query_id, max((list_contains(w, ents[1]) AND list_contains(w, ents[2]) AND list_contains(w, ents[3]))::INT)::DOUBLE AS coverage FROM it JOIN top USING (query_id) WHERE len(ents) = 3 GROUP BY query_id")
 def relation_coverage(spark, sf_dir):
     b = Base(spark, sf_dir)
-    top = sc.ranked(b.bm25(), 5).join(b.chunks, "chunk_id").select("query_id", "rank", "text")
+    top = b.top("bm25", 5).join(b.chunks, "chunk_id").select("query_id", "rank", "text")
     e = F.col("target_entities")
     items = _items(spark, sf_dir).where(F.size("target_entities") == 3).select("query_id", F.array(F.struct(e[0].alias("src"), e[1].alias("pred"), e[2].alias("tgt"))).alias("target_relations"))
     return ev.relation_coverage(top, items)
@@ -409,12 +462,12 @@ def recalibrated_targets(spark, sf_dir):
     return ev.first_chunks(tb.chunks(spark, sf_dir))
 
 
-@query("e12_rerank_diagnostic")
+@query("e12_rerank_diagnostic", f"{RRF}, {PAIRS} SELECT query_id, chunk_id, before, rank AS after FROM ag")
 def rerank_diagnostic(spark, sf_dir):
     """Ranks before and after pair scoring for every pool entry."""
     from lodestone.operators.dense import pair_scores
 
     b = Base(spark, sf_dir)
-    fused = fu.ranked_by_fusion(b.rrf(), 50)
+    fused = cut(b.fused(50))
     after = pp.rerank(fused, pair_scores(fused, b.queries, b.chunks))
     return fused.select("query_id", "chunk_id", F.col("rank").alias("before")).join(after.select("query_id", "chunk_id", F.col("rank").alias("after")), ["query_id", "chunk_id"])
