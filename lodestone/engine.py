@@ -40,8 +40,8 @@ class SearchEngine:
         self._indexes: dict[str, sc.TermIndex] = {}
         #: Each gives (query_id, chunk_id, score, rank) to some depth.
         self.strategies: dict[str, Callable[[DataFrame, int], DataFrame]] = {
-            "bm25": lambda q, k: self._top(self._bm25(q), q, k),
-            "tfidf": lambda q, k: self._top(self._tfidf(q), q, k),
+            "bm25": lambda q, k: self._top(self._bm25(q, k=k), q, k),
+            "tfidf": lambda q, k: self._top(self._tfidf(q, k=k), q, k),
             "linear_0.3": lambda q, k: self._linear(q, F.lit(0.3), k),
             "linear_0.5": lambda q, k: self._linear(q, F.lit(0.5), k),
             "linear_0.7": lambda q, k: self._linear(q, F.lit(0.7), k),
@@ -76,11 +76,11 @@ class SearchEngine:
         for tokens in (words_by_space, word_tokens, alnum_tokens):
             self._indexes[tokens.__name__] = sc.TermIndex.load(self.spark, f"{path}/{tokens.__name__}")
 
-    def _bm25(self, q, digits=sc.DIGITS):
-        return tk.Sparse.of(sc.bm25_indexed(q, self._index(words_by_space)), q, digits=digits)
+    def _bm25(self, q, digits=sc.DIGITS, k=None):
+        return tk.Sparse.of(sc.bm25_indexed(q, self._index(words_by_space), k=k), q, digits=digits)
 
-    def _tfidf(self, q, digits=sc.DIGITS):
-        return tk.Sparse.of(sc.tfidf_indexed(q, self._index(word_tokens)), q, digits=digits)
+    def _tfidf(self, q, digits=sc.DIGITS, k=None):
+        return tk.Sparse.of(sc.tfidf_indexed(q, self._index(word_tokens), k=k), q, digits=digits)
 
     def _top(self, sparse, q, k):
         return tk.top_ranked(sparse, q, self.chunks, k)

@@ -37,11 +37,11 @@ class Base:
     def everywhere(self, scores: DataFrame) -> DataFrame:
         return sc.on_all(scores, self.queries, self.chunks)
 
-    def bm25_matched(self) -> DataFrame:
-        return sc.bm25_indexed(self.queries, self.index(tx.words_by_space))
+    def bm25_matched(self, k: int | None = None) -> DataFrame:
+        return sc.bm25_indexed(self.queries, self.index(tx.words_by_space), k=k)
 
-    def tfidf_matched(self) -> DataFrame:
-        return sc.tfidf_indexed(self.queries, self.index(tx.word_tokens))
+    def tfidf_matched(self, k: int | None = None) -> DataFrame:
+        return sc.tfidf_indexed(self.queries, self.index(tx.word_tokens), k=k)
 
     def bm25(self) -> DataFrame:
         return self.everywhere(self.bm25_matched())
@@ -55,7 +55,9 @@ class Base:
         return self.once(f"sparse {name} {digits}", lambda: tk.Sparse.of(make[name](), self.queries, digits=digits))
 
     def top(self, name: str, k: int) -> DataFrame:
-        return tk.top_ranked(self.sparse(name), self.queries, self.chunks, k)
+        """The head of one scorer's ranking, from the best of each block of chunks."""
+        best = {"bm25": self.bm25_matched, "tfidf": self.tfidf_matched}[name](k)
+        return tk.top_ranked(tk.Sparse.of(best, self.queries), self.queries, self.chunks, k)
 
     def linear(self, alphas: DataFrame) -> tk.Sparse:
         return tk.scaled_linear([self.sparse("tfidf", None), self.sparse("bm25", None)], alphas, self.queries, self.chunks)
