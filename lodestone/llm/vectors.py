@@ -34,7 +34,7 @@ from lodestone.llm.shared import written
 COSINE = 0.93
 #: Vectors of one label in a cell, as far as the pivots go; smaller labels have SHARED pivots.
 CELL = 2048
-SHARED = 4
+SHARED = 2
 #: Pivots over all labels, and so the size of what is broadcast, are at most twice this. Cells
 #: of a table that would need more are larger: then bands and blocks divide the work further.
 MOST_PIVOTS = 4096
