@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.blocks import Slice, slices
 from lodestone.llm.pieces import PieceCache
-from lodestone.llm.shared import documents
+from lodestone.llm.shared import bounded_batches, documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -303,6 +303,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), pa.array(np.diff(off)), lists], ["doc_id", "n_tokens", "ids"])
 
+    bounded_batches(docs.sparkSession)
     return _source(docs).mapInArrow(run, ENCODED)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.blocks import Rolling, Slice, byte_mask, slices
-from lodestone.llm.shared import documents
+from lodestone.llm.shared import bounded_batches, documents
 
 #: Bound of the fit: at most this many labelled documents of each class.
 LABELLED_PER_CLASS = 1024
@@ -153,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class:
     with several labels counts by the largest; null labels and ids are left out. Without
     any usable row the model scores 0.5.
     """
+    bounded_batches(docs.sparkSession)
     usable = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
     one, zero = (usable.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (1, 0))
     # at most 2 * per_class rows of two numbers
@@ -179,6 +180,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts score by their shape (no words); repeated rows score alike; a null
     doc_id stays null; other columns are ignored; no rows give no rows.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +192,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose score is at least ``least``."""
+    """The rows of docs, all columns, whose score is at least ``least``.
+
+    Null and empty texts score by their shape (no words); repeated rows score alike, so all or
+    none of them stay; a null doc_id is as good as any; no rows give no rows.
+    """
+    bounded_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.blocks import Slice, byte_mask, code_points, runs, slices
-from lodestone.llm.shared import documents
+from lodestone.llm.shared import bounded_batches, documents
 
 #: The fixed patterns of the base; letters in ASCII only, in either case for the first.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -157,6 +157,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str | None = None, min_run: int =
     ``random`` spans never overlap base spans. Spans are half open, in code points.
     """
     path = vocabulary or vocabulary_path()
+    bounded_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(path)
@@ -181,6 +182,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", vocabulary: str | No
     doc_id changes nothing; every row is kept, and no rows give no rows.
     """
     path = vocabulary or vocabulary_path()
+    bounded_batches(docs.sparkSession)
     names, schema = docs.columns, docs.schema
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
