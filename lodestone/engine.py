@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lodestone.operators import dense, rag
 from lodestone.operators import evaluation as ev
 from lodestone.operators import fusion as fu
+from lodestone.operators import generation as gn
 from lodestone.operators import graph as gr
 from lodestone.operators import postprocess as pp
 from lodestone.operators import scoring as sc
@@ -168,6 +169,13 @@ class SearchEngine:
         levels = rag.citations(results, queries).orderBy("rank").select("rank", "doc_name", "level").collect()
         return {"query": query, "answer": answer.answer, "context": context.context if context else "", "citations": [r.asDict() for r in levels], "strategy": self.resolve(strategy)}
 
+    def generate(self, queries: DataFrame, pipeline: gn.GenerationPipeline, strategy: str = "graph", top_k: int = 3) -> list[gn.Answer]:
+        """Answers of a generator to a batch of queries, from the strategy's best chunks and, with
+        a graph strategy, the relations around the entities that a query names."""
+        results = cut(self.search(queries, strategy, top_k))
+        triplets = gn.triplets(queries, *self.graph[:2]) if "graph" in self.resolve(strategy) else None
+        return pipeline.answer(queries, results, triplets, self.resolve(strategy))
+
     def evaluate(self, queries: DataFrame, truth: DataFrame, strategies: list[str]) -> DataFrame:
         """Per strategy the mean metrics over queries, with truth (query_id, chunk_id)."""
         results = None

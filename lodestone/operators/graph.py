@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import json
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -138,11 +141,102 @@ def extract(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ents, relationships(cooccurrence(chunks, found), ents)
 
 
+#: What an extracting model reads of a chunk. Fixed value.
+MODEL_CHARS = 2000
+MODEL_ROWS = "chunk_id bigint, doc_name string, ok boolean, entities array<struct<name:string,entity_type:string,description:string>>, relations array<struct<src:string,dst:string,relation_type:string,description:string,weight:double>>"
+
+
+def parsed_reply(reply: str) -> tuple[list[tuple], list[tuple]]:
+    """Entities (name, entity_type, description) and relations (src, dst, relation_type,
+    description, weight) of a model's JSON, fenced or not. ValueError if it is none."""
+    data = json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", reply.strip(), flags=re.IGNORECASE))
+    if not isinstance(data, dict):
+        raise ValueError("the reply is no JSON object")
+    try:
+        ents = [(str(e.get("name", "")), str(e.get("entity_type", "CONCEPT")), str(e.get("description", ""))) for e in data.get("entities", [])]
+        rels = [(str(r.get("source", "")), str(r.get("target", "")), str(r.get("relation_type", "RELATED_TO")), str(r.get("description", "")), float(r.get("weight", 1.0))) for r in data.get("relationships", [])]
+    except (AttributeError, TypeError) as error:
+        raise ValueError(str(error)) from error
+    return ents, rels
+
+
+def extract_by_model(chunks: DataFrame, call: Callable[[str], str] | None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of the replies of a model to each chunk's text.
+
+    A chunk without a usable reply is mined by patterns, as all are without a model; with
+    ``strict`` an error of the call itself fails the job. The replies are written once.
+    """
+    if call is None:
+        return extract(chunks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for chunk_id, doc_name, text in zip(batch["chunk_id"], batch["doc_name"], batch["text"], strict=True):
+                try:
+                    reply = call((text or "")[:MODEL_CHARS])
+                except Exception:
+                    if strict:
+                        raise
+                    rows.append((chunk_id, doc_name, False, [], []))
+                    continue
+                try:
+                    rows.append((chunk_id, doc_name, True, *parsed_reply(reply)))
+                except ValueError:
+                    rows.append((chunk_id, doc_name, False, [], []))
+            yield pd.DataFrame(rows, columns=["chunk_id", "doc_name", "ok", "entities", "relations"])
+
+    replies = cut(chunks.select("chunk_id", "doc_name", "text").mapInPandas(run, MODEL_ROWS))
+    said = replies.select("chunk_id", "doc_name", F.explode("entities").alias("e")).select(normalize_name(F.col("e.name")).alias("name"), "e.entity_type", F.array("chunk_id").alias("chunk_ids"), F.array("doc_name").alias("doc_names")).where(F.length("name") >= 2)
+    pairs = replies.select("chunk_id", F.explode("relations").alias("r")).select(normalize_name(F.col("r.src")).alias("src"), normalize_name(F.col("r.dst")).alias("dst"), "r.relation_type", "r.weight", "r.description", F.array("chunk_id").alias("chunk_ids"))
+    mined, edges = extract(chunks.join(replies.where("ok").select("chunk_id"), "chunk_id", "left_anti"))
+    vertices = resolve_exact(said.unionByName(mined.select(*said.columns)))
+    every = pairs.where("src <> '' AND dst <> '' AND src <> dst").unionByName(edges.select(*pairs.columns))
+    name = lambda c: vertices.select(F.col("name").alias(c))
+    return vertices, upsert_relationships(None, every.join(name("src"), "src", "left_semi").join(name("dst"), "dst", "left_semi"))
+
+
 def merge_edges(edges: DataFrame) -> DataFrame:
     """Parallel edges of a type as one: weights added, chunks united."""
     return edges.groupBy("src", "dst", "relation_type").agg(F.sum("weight").alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids"))
 
 
+def upsert_entities(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(name, entity_type, description, chunk_ids, doc_names): new entities added to old ones.
+
+    Provenance is united; the type of the earlier and the first description that says
+    something stay. new may lack description, and may name an entity several times: then the
+    one of the first chunk is the earlier.
+    """
+    def part(df: DataFrame, age: int) -> DataFrame:
+        text = F.col("description") if "description" in df.columns else F.lit("")
+        order = F.struct(F.lit(age).alias("age"), F.coalesce(F.array_min("chunk_ids"), F.lit(-1)).alias("c"), F.col("entity_type").alias("t"), text.alias("d"))
+        return df.select("name", "entity_type", text.alias("description"), "chunk_ids", "doc_names", order.alias("o"))
+
+    both = part(new, 1) if old is None else part(old, 0).unionByName(part(new, 1))
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    said = F.min_by("description", F.when(F.coalesce("description", F.lit("")) != "", F.col("o")))
+    return both.groupBy("name").agg(F.min_by("entity_type", "o").alias("entity_type"), F.coalesce(said, F.lit("")).alias("description"), united("chunk_ids"), united("doc_names"))
+
+
+def with_endpoints(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """vertices and, as bare concepts, the ends of edges that they lack."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct().join(vertices.select("name"), "name", "left_anti")
+    types = {f.name: f.dataType for f in vertices.schema}
+    bare = ends.select("name", F.lit("CONCEPT").alias("entity_type"), F.lit("").alias("description"), F.array().cast(types["chunk_ids"]).alias("chunk_ids"), F.array().cast(types["doc_names"]).alias("doc_names"))
+    return vertices.unionByName(bare)
+
+
+def upsert_relationships(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(src, dst, relation_type, weight, description, chunk_ids): weights of equal edges added, the first description kept."""
+    columns = ["src", "dst", "relation_type", "weight", "description", "chunk_ids"]
+    both = new.select(*columns, F.lit(1).alias("age"))
+    if old is not None:
+        both = old.select(*columns, F.lit(0).alias("age")).unionByName(both)
+    order = F.struct("age", F.coalesce(F.array_min("chunk_ids"), F.lit(-1)).alias("c"), "description")
+    return both.groupBy("src", "dst", "relation_type").agg(F.sum("weight").alias("weight"), F.min_by("description", order).alias("description"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids"))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b, weight): edge weights added up regardless of direction and type."""
     return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("weight"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -96,21 +97,24 @@ class TokenBucket:
     clock: Callable[[], float] = time.monotonic
     level: float = field(init=False)
     at: float = field(init=False)
+    lock: threading.Lock = field(init=False, repr=False, default_factory=threading.Lock)
 
     def __post_init__(self):
         self.level, self.at = self.capacity, self.clock()
 
     def take(self, n: float = 1) -> bool:
-        now = self.clock()
-        self.level = min(self.capacity, self.level + (now - self.at) * self.rate)
-        self.at = now
-        if self.level < n:
-            return False
-        self.level -= n
-        return True
+        with self.lock:
+            now = self.clock()
+            self.level = min(self.capacity, self.level + (now - self.at) * self.rate)
+            self.at = now
+            if self.level < n:
+                return False
+            self.level -= n
+            return True
 
     def give_back(self, n: float) -> None:
-        self.level = min(self.capacity, self.level + n)
+        with self.lock:
+            self.level = min(self.capacity, self.level + n)
 
 
 @dataclass

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.operators import fusion as fu
+from lodestone.operators import generation as gn
 from lodestone.operators import graph as gr
 from lodestone.operators import postprocess as pp
 from lodestone.operators import scoring as sc
@@ -125,6 +125,21 @@ def vertex_upsert(spark, sf_dir):
     return gr.entities(gr.mentions(tb.chunks(spark, sf_dir))).groupBy("entity_type").agg(F.count("*").alias("n"), F.sum("n_chunks").alias("mentions"))
 
 
+@query("g1_upserted_entities", f"WITH {C}, {ENTITIES} SELECT name, entity_type, '' AS description, chunk_ids FROM en")
+def upserted_entities(spark, sf_dir):
+    """Entities upserted into themselves are themselves."""
+    found = gr.entities(gr.mentions(tb.chunks(spark, sf_dir)))
+    return gr.upsert_entities(gr.upsert_entities(None, found), found).drop("doc_names")
+
+
+@query("g2_created_endpoints", f"WITH {C}, {PAIRS} SELECT name, 'CONCEPT' AS entity_type FROM (SELECT src AS name FROM ed UNION SELECT dst FROM ed)")
+def created_endpoints(spark, sf_dir):
+    """Relationships put into an empty graph bring their ends along."""
+    g = Graph(spark, sf_dir)
+    none = gr.upsert_entities(None, g.vertices.where(F.lit(False)))
+    return gr.with_endpoints(none, gr.upsert_relationships(None, g.edges)).select("name", "entity_type")
+
+
 @query("g2_edge_merge", f"WITH {C}, {PAIRS} SELECT src, dst, 'CO_OCCURS_WITH' AS relation_type, round(2 * weight, 9) AS weight FROM ed")
 def edge_merge(spark, sf_dir):
     """Every edge inserted twice is one edge of twice the weight."""
@@ -238,7 +253,4 @@ def rrf_graph_dedup(spark, sf_dir):
 def graph_triplets(spark, sf_dir):
     """The first three edges of the first three entities of each query."""
     g = Graph(spark, sf_dir)
-    first = lambda df, by, order: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("r <= 3").drop("r")
-    named = first(gr.query_entities(g.queries, g.vertices), ["query_id"], ["name"])
-    met = gr.neighbours(g.edges, named.select(F.col("name").alias("start")).distinct())
-    return first(named.join(met, F.col("name") == F.col("start")), ["query_id", "name"], ["src", "dst"]).select("query_id", "name", "src", "dst")
+    return gn.first_edges(g.queries, g.vertices, g.edges)

@@ -131,8 +131,12 @@ class ChunkStore:
         out = fs.create(temporary, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(temporary, path)
+        # one rename that replaces: a crash leaves the old manifest or the new one
+        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        where = fs.makeQualified(path)
+        hadoop.FileContext.getFileContext(where.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(temporary), where, options)
 
     def load_manifest(self) -> dict | None:
         """The manifest, or None if there is none or it can't be parsed."""
