@@ -33,8 +33,9 @@ from lodestone.llm.blocks import Rolling, Slice, mix64, slices
 from lodestone.llm.components import components, spanning_tree
 from lodestone.llm.shared import documents, written
 
-TREES = 12
 DEPTH = 5
+#: Share of the pairs at the threshold that meet in a leaf or block of some tree, whatever their nodes.
+RECALL = 0.999
 #: Documents in a leaf, or in a block of a node that stays larger.
 LEAF = 128
 HUBS = 4
@@ -48,8 +49,13 @@ MARGIN = 3.7
 _I, _U = np.int64, np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_MASKS = mix64(np.arange(1, TREES * DEPTH + 1, dtype=_U))
-_FACTORS = mix64(np.arange(1001, TREES * DEPTH + 1001, dtype=_U)) | _U(1)
+
+
+def trees_for(similarity: float, recall: float = RECALL) -> int:
+    """Independent trees that a pair of this similarity needs: it shares each to full depth with
+    probability similarity**DEPTH, so 12 at 0.85 and 18 at 0.8 for a recall of 0.999."""
+    apart = 1 - similarity**DEPTH
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(apart)))) if apart > 0 else 1
 
 
 def shingle_sets(part: Slice, size: int) -> list[np.ndarray]:
@@ -70,24 +76,27 @@ def shingle_sets(part: Slice, size: int) -> list[np.ndarray]:
     return out
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """(rows, TREES * DEPTH) minwise values, 32 bits each; rows of empty sets are zero."""
-    out = np.zeros((len(sets), len(_MASKS)), dtype=np.uint32)
+def sketches(sets: list[np.ndarray], trees: int = 12) -> np.ndarray:
+    """(rows, trees * DEPTH) minwise values, 32 bits each; rows of empty sets are zero."""
+    width = trees * DEPTH
+    masks = mix64(np.arange(1, width + 1, dtype=_U))
+    factors = mix64(np.arange((1 << 32) + 1, (1 << 32) + width + 1, dtype=_U)) | _U(1)
+    out = np.zeros((len(sets), width), dtype=np.uint32)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         values = np.concatenate([sets[i] for i in full])
         at = np.cumsum([0] + [len(sets[i]) for i in full[:-1]])
-        for j, (mask, factor) in enumerate(zip(_MASKS, _FACTORS, strict=True)):
+        for j, (mask, factor) in enumerate(zip(masks, factors, strict=True)):
             out[full, j] = np.minimum.reduceat(((values ^ mask) * factor) >> _U(32), at).astype(np.uint32)
     return out
 
 
-def _signed(docs: DataFrame, size: int) -> DataFrame:
+def _signed(docs: DataFrame, size: int, trees: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part, size)
-                sketch = sketches(sets)
+                sketch = sketches(sets, trees)
                 digests = [hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
 
@@ -102,13 +111,14 @@ def _paths(reps: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, TREES, DEPTH).astype(_U)
-            node = np.broadcast_to(mix64(np.arange(TREES, dtype=_U))[None, :], raw.shape[:2])
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1, DEPTH).astype(_U)
+            trees = raw.shape[1]
+            node = np.broadcast_to(mix64(np.arange(trees, dtype=_U))[None, :], raw.shape[:2])
             path = np.empty(raw.shape, dtype=_I)
             for d in range(DEPTH):
                 node = mix64(node ^ mix64(raw[:, :, d] + _U(d << 40)))
                 path[:, :, d] = node.view(_I)
-            ids = np.repeat(batch.column(0).to_numpy(), TREES)
+            ids = np.repeat(batch.column(0).to_numpy(), trees)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, path.size + 1, DEPTH, dtype=np.int32)), pa.array(path.reshape(-1)))
             yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["doc_id", "path"])
 
@@ -422,9 +432,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     rows with a null doc_id get a null component and are kept; other columns are ignored;
     no rows give no rows. Rows that share a doc_id are taken to share the text.
     """
-    percent = round(100 * similarity)
-    least = similarity - MARGIN * float(np.sqrt(similarity * (1 - similarity) / (TREES * DEPTH)))
-    signed = written(_signed(docs, shingle), "signed")
+    percent, trees = round(100 * similarity), trees_for(similarity)
+    least = similarity - MARGIN * float(np.sqrt(similarity * (1 - similarity) / (trees * DEPTH)))
+    signed = written(_signed(docs, shingle, trees), "signed")
     usable = signed.where("doc_id is not null and n_shingles > 0")
     classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # one row an exact class, under its smallest doc_id

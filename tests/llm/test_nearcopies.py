@@ -162,3 +162,9 @@ def test_components_of_chains_and_hubs(spark):
     hub = [(7, i) for i in range(200, 400)] + [(3, 399)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain + hub + [(5, 5)], "a bigint, b bigint")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 3 for i in [3, 7, *range(200, 400)]}
+
+
+def test_trees_follow_the_similarity():
+    assert [nearcopies.trees_for(s) for s in (1.0, 0.95, 0.85, 0.8)] == [1, 5, 12, 18]
+    for s in (0.6, 0.8, 0.85, 0.9):
+        assert (1 - s**nearcopies.DEPTH) ** nearcopies.trees_for(s) <= 1 - nearcopies.RECALL + 1e-12
