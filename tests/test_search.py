@@ -182,3 +182,21 @@ def test_limiter_refunds_and_router_rests():
     with pytest.raises(rag.GenerationError):
         rag.with_retries(lambda: bad(""), 3, 1.0, waits.append)
     assert len(waits) == 2 and 2 <= waits[1] <= 2.2
+
+
+def test_louvain_raises_modularity(spark):
+    rnd = random.Random(3)
+    names = [f"{g}{i}" for g in "abc" for i in range(8)]
+    pairs = {tuple(sorted(rnd.sample([n for n in names if n[0] == g], 2))) for g in "abc" for _ in range(40)} | {("a0", "b0"), ("b1", "c1"), ("a2", "c2")}
+    edges = spark.createDataFrame([(a, b, "R", 1.0, [1]) for a, b in sorted(pairs)], "src string, dst string, relation_type string, weight double, chunk_ids array<bigint>")
+    vertices = spark.createDataFrame([(n,) for n in [*names, "z"]], "name string")
+    found = gr.louvain(vertices, edges)
+    got = {r.name: r.community for r in found.collect()}
+    assert got == {n: f"{n[0]}0" for n in names} | {"z": "z"}
+
+    degree = {n: sum(n in p for p in pairs) for n in names}
+    m2 = 2 * len(pairs)
+    plain = sum(2 for a, b in pairs if got[a] == got[b]) / m2 - sum((sum(degree[n] for n in names if n[0] == g) / m2) ** 2 for g in "abc")
+    assert abs(gr.modularity(edges, found) - plain) < 1e-9
+    assert gr.modularity(edges, found) > gr.modularity(edges, gr.communities(vertices, edges)) + 0.3
+    assert sorted(gr.louvain(vertices, edges.limit(0)).collect()) == sorted((n, n) for n in [*names, "z"])
