@@ -109,7 +109,11 @@ class SearchEngine:
         return pp.mmr(pool, sc.tfidf_vectors(self._index(word_tokens), pool))
 
     def _ppmi(self, q, k):
-        lists = [sc.ppmi(q, self.chunks), sc.bm25_indexed(q, self._index(alnum_tokens), floor=None, tokens=alnum_tokens)]
+        index = self._index(alnum_tokens)
+        if k < index.n_chunks:
+            return tk.top_fused_blocks(index, sc.ppmi_and_bm25(q, self.chunks, index), 2, q, k)
+        # every rank is asked for
+        lists = [sc.ppmi(q, self.chunks), sc.bm25_indexed(q, index, floor=None, tokens=alnum_tokens)]
         return tk.top_fused([tk.Sparse.of(x, q) for x in lists], q, self.chunks, k)
 
     def _cross_encoder(self, q, k):

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from lodestone.operators import graph as gr
 from lodestone.operators import postprocess as pp
 from lodestone.operators import rag
 from lodestone.operators import scoring as sc
+from lodestone.operators import topk as tk
 
 CHUNKS = [(0, "paper_a.pdf", 1, "Introduction", "Deep learning architectures for retrieval augmented generation."), (1, "paper_a.pdf", 2, "Methods", "Reciprocal rank fusion combines sparse and dense rankings."), (2, "paper_b.pdf", 1, "Overview", "Knowledge graph traversal enhances POMDP belief state filtering.")]
 CHUNK = "chunk_id bigint, doc_name string, page_num int, section string, text string"
@@ -252,3 +254,57 @@ def test_mean_idf_does_not_depend_on_the_order_of_terms(spark):
         for i in range(3):
             want = 0.25 * mean * 2.5 / (1 + 1.5 * (0.25 + 0.75 * (60_001 + 10_000 * i) / avgdl))
             assert abs(got[i] - want) < 2e-15 * want
+
+
+def test_units_round_as_spark_does(spark):
+    rnd = random.Random(7)
+    halves = [(2 * rnd.randrange(10**9) + 1) / 2e6 for _ in range(3000)]
+    xs = [0.0, -0.0, 1e-7, 5e-7, 4.999999999999999e-7, 0.1234565, 123456.7890125]
+    xs += [y for x in halves for y in (x, math.nextafter(x, 0), math.nextafter(x, math.inf), rnd.random())]
+    xs += [-x for x in xs]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", F.round("x", 6).alias("x")).orderBy("i").collect()
+    assert (sc.units(np.array(xs)) / 1e6).tolist() == [r.x for r in got]
+
+
+@pytest.mark.parametrize(("n", "depth", "entries"), [(1500, 10, None), (1500, 3, 200), (25, 10, None), (7, 10, None), (0, 10, None)])
+def test_ppmi_fusion_equals_whole_rankings_and_writes_no_grid(spark, monkeypatch, n, depth, entries):
+    rnd = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "theta", "kappa", "of", "w1"]
+    # few texts, so that many scores are equal, and ids in no order of the rows
+    pool = ["", "of the", "rare word", *(" ".join(rnd.choices(words, k=rnd.randint(2, 9))) for _ in range(60))]
+    ids = rnd.sample(range(-50, 5 * n + 50), n)
+    chunks = spark.createDataFrame([(i, "d", 1, "s", rnd.choice(pool)) for i in ids], CHUNK).repartition(5)
+    engine = SearchEngine(spark, chunks)
+    asks = ["alpha beta beta", "", "zz", "rare", "word of", *(" ".join(rnd.choices(words, k=4)) for _ in range(15))]
+    queries = asked(spark, *asks)
+
+    rows = []
+
+    def counted(df, made=tk.cut):
+        out = made(df)
+        rows.append(out.count())
+        return out
+
+    if entries:
+        monkeypatch.setattr(tk, "HEAD_ENTRIES", entries)  # several passes
+    monkeypatch.setattr(tk, "cut", counted)
+    if depth < n:
+        found = engine.search(queries, "ppmi", depth).collect()
+    else:
+        index = sc.TermIndex.build(engine.chunks, tx.alnum_tokens)
+        found = tk.top_fused_blocks(index, sc.ppmi_and_bm25(queries, engine.chunks, index), 2, queries, depth).collect()
+    monkeypatch.undo()
+    assert max(rows) <= max(len(asks) * 2 * (2 * (60 + depth) - 60), n)
+
+    ranks = []
+    index = sc.TermIndex.build(engine.chunks, tx.alnum_tokens)
+    for scores in (sc.ppmi(queries, engine.chunks), sc.bm25_indexed(queries, index, floor=None, tokens=tx.alnum_tokens)):
+        known = {(r.query_id, r.chunk_id): r.score for r in scores.select("query_id", "chunk_id", F.round("score", 6).alias("score")).collect()}
+        ranks.append({(q, c): r for q in range(len(asks)) for r, c in enumerate(sorted(ids, key=lambda c: (-known.get((q, c), 0.0), c)), start=1)})
+    one, two = ranks
+    want = {}
+    for q in range(len(asks)):
+        score = {c: round(1 / (60 + one[q, c]) + 1 / (60 + two[q, c]), 12) for c in ids}
+        want[q] = sorted(ids, key=lambda c: (-score[c], one[q, c], two[q, c], c))[:depth]
+    got = {q: [r.chunk_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] for q in range(len(asks))}
+    assert got == want
